@@ -1,0 +1,25 @@
+"""The registered queries of this subpackage, and their SQL where there is any."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import bpe_query
+
+_MODULES = (bpe_query,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in _MODULES:
+        out |= m.QUERIES
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _MODULES:
+        out |= getattr(m, "SQL", {})
+    return out
