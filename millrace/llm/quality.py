@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import fresh_name
+
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 _NO_LETTERS = {ord(c): None for c in "0123456789" + _SPACES}
@@ -90,25 +92,32 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
-def text_statistics(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, counts of BASE and MORE), one for each row of `df`."""
-    names = ["doc_id", *STATISTICS.names]
+def with_statistics(df: DataFrame, *, text: str = "text", into: str = "statistics") -> DataFrame:
+    """`df` with a struct column `into` that holds the counts of BASE and MORE for each row's text."""
+    keep = [c for c in df.columns if c.lower() != into.lower()]
+    names = STATISTICS.names
+    at = [c.lower() for c in keep].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([statistics(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1, len(names) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names)
+            got = np.array([statistics(t.as_py()) for t in b.column(at)], dtype=np.int64).reshape(-1, len(names))
+            counts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in got.T], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, counts], [*keep, into])
+
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], T.StructField(into, STATISTICS)])
+    return df.select([df[f"`{c}`"] for c in keep]).mapInArrow(run, schema)
+
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *STATISTICS.fields])
-    return df.select(df[f"`{doc_id}`"].cast("long"), df[f"`{text}`"].cast("string")).mapInArrow(run, schema)
+def _count(name: str, within: str | None) -> Column:
+    return F.col(f"{within}.{name}" if within else name)
 
 
-def _share(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
+def features(within: str | None = None) -> dict[str, Column]:
+    """What conditions are about; each from the counts of one text (fields of `within`, if given)."""
 
+    def _share(a: str, b: str) -> Column:
+        return _count(a, within) / F.greatest(_count(b, within), F.lit(1))
 
-def features() -> dict[str, Column]:
-    """What conditions are about; each from the counts of one text."""
     return {
         "symbols_per_word": _share("n_symbols", "n_words"),
         "mean_word_chars": _share("word_chars", "n_words"),
@@ -121,7 +130,7 @@ def features() -> dict[str, Column]:
         "top_word_share": _share("top_word", "n_words"),
         "stutter_share": _share("n_stutter", "n_words"),
         "words_per_line": _share("n_words", "n_lines"),
-        "n_words": F.col("n_words").cast("double"),
+        "n_words": _count("n_words", within).cast("double"),
     }
 
 
@@ -131,8 +140,8 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        c = features()[self.feature]
+    def column(self, within: str | None = None) -> Column:
+        c = features(within)[self.feature]
         return c > F.lit(self.threshold) if self.above else c <= F.lit(self.threshold)
 
     def __str__(self) -> str:
@@ -143,21 +152,21 @@ class Condition:
 class Rule:
     conditions: tuple[Condition, ...]
 
-    def column(self) -> Column:
-        out = self.conditions[0].column()
+    def column(self, within: str | None = None) -> Column:
+        out = self.conditions[0].column(within)
         for c in self.conditions[1:]:
-            out = out & c.column()
+            out = out & c.column(within)
         return out
 
     def __str__(self) -> str:
         return " and ".join(map(str, self.conditions))
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], within: str | None = None) -> Column:
     """False where the first rule that holds rejects, true where none holds."""
-    out = F.when(rules[0].column(), F.lit(False)) if rules else None
+    out = F.when(rules[0].column(within), F.lit(False)) if rules else None
     for r in rules[1:]:
-        out = out.when(r.column(), F.lit(False))
+        out = out.when(r.column(within), F.lit(False))
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
@@ -230,24 +239,33 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[Rule]:
     return rules
 
 
-def learn_decision_list(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules that reject, learned from the statistics of at most `max_labelled` labelled rows (label 0 is bad)."""
+def learn_decision_list(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
+    """Rules that reject, learned from at most `max_labelled` labelled rows of `docs` (label 0 is bad)."""
     named = features()
     rows = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
-    base = base_failed()
-    joined = stats.join(rows, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", base.alias("base"), *[c.alias(k) for k, c in named.items()])
-    sample = joined.orderBy("h", "doc_id").limit(max_labelled).toPandas()
-    sample = sample[~sample["base"]]  # the base rules have those already
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # small enough to broadcast
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
+    stats = with_statistics(texts).select("doc_id", "y", "statistics.*")
+    sample = stats.select("doc_id", "y", base_failed().alias("base"), *[c.alias(k) for k, c in named.items()]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
+    sample = sample[~sample["base"].astype(bool)]  # the base rules have those already
     return learn_rules(sample[list(named)].to_numpy(dtype=float), (sample["y"] == 0).to_numpy(), list(named))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(within: str | None = None) -> Column:
+    words = _count("n_words", within)
+    return (words < MIN_WORDS) | (100 * _count("n_repeat_words", within) > MAX_REPEAT_PERCENT * words)
 
 
-def judge(df: DataFrame, labels: DataFrame, scratch, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[DataFrame, list[Rule]]:
-    """Rows (doc_id, statistics, base_failed, kept) for each row of `df`, and the rules."""
-    stats = scratch.save(text_statistics(df, doc_id=doc_id, text=text), "statistics")
-    rules = learn_decision_list(stats, labels, label=label)
+def judge(df: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
+    """`df` with the counts of BASE and MORE, `base_failed` and `kept`; columns of those names give way."""
+    made = {*STATISTICS.names, "base_failed", "kept", "statistics"}
+    rows = with_statistics(df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in made]), text=text).select("*", "statistics.*").drop("statistics")
     failed = base_failed()
-    return stats.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)}), rules
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+
+
+def keep_good(df: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
+    """The rows of `df` that the base rules and the decision list keep."""
+    into = fresh_name(df, "statistics")
+    rows = with_statistics(df, text=text, into=into)
+    return rows.where(~base_failed(into) & verdict(rules, into)).drop(into)

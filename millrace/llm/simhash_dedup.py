@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch
+from millrace.llm.common import Scratch, fresh_name
 from millrace.llm.components import connected_components
 
 SHINGLE = 3
@@ -109,6 +109,7 @@ def keep_one(df: DataFrame, near: DataFrame, *, doc_id: str = "doc_id") -> DataF
     one stays. Rows without a doc_id can't be told apart and stay.
     """
     kept = near.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    row = fresh_name(df, "row")
     one = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
-    named = df.join(kept, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns], one.alias("__row"))
-    return named.where("__row = 1").drop("__row").unionByName(df.where(F.col(doc_id).isNull()))
+    named = df.join(kept, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns], one.alias(row))
+    return named.where(F.col(row) == 1).drop(row).unionByName(df.where(F.col(doc_id).isNull()))
