@@ -160,10 +160,12 @@ class Scanner:
             for i in range(1, len(begins) + 1):
                 if i < len(begins) and begins[i] - begins[i - 1] <= slack:
                     continue
-                first, last, lo = begins[lo], begins[i - 1] + len(template), i
+                usual = max(Counter(begins[lo:i]).items(), key=lambda x: (x[1], -x[0]))[0]
+                first, last, lo = begins[lo], begins[i - 1], i
                 pairs: list[tuple[int, int]] = []
-                for more in (0, slack):  # what stands around may repeat the template's words
-                    at, part = max(0, first - more), words[max(0, first - more) : last + more]
+                # The narrowest window that will do: what stands around may repeat the template's words.
+                for x, y in ((usual, usual), (first, last), (first - slack, last + slack)):
+                    at, part = max(0, x), words[max(0, x) : y + len(template)]
                     if len(pairs) < len(template) and sum((Counter(part) & Counter(template)).values()) >= least * len(template):
                         got = align(part, template)
                         if len(got) > len(pairs):
