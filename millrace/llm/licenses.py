@@ -1,7 +1,7 @@
 """License scans by patience alignment of texts with license templates.
 
 A text's words are looked up in an index of the templates' word sequences; hits on
-nearby diagonals of one template make a region. The region's words are aligned
+nearby diagonals of one template make a region, the most frequent diagonal first. The region's words are aligned
 with the template's: words that are unique in both are anchors, the longest
 increasing subsequence of them is kept, and the gaps between anchors are aligned
 in the same way, after equal words at their ends have been matched. Coverage is the
@@ -20,7 +20,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -155,16 +155,15 @@ class Scanner:
         for t, begins in starts.items():
             template = self.words[t]
             slack = max(2, len(template) // 4)
-            begins.sort()
-            lo = 0
-            for i in range(1, len(begins) + 1):
-                if i < len(begins) and begins[i] - begins[i - 1] <= slack:
+            used: list[int] = []
+            for usual, _ in sorted(Counter(begins).items(), key=lambda x: (-x[1], x[0])):
+                k = bisect_left(used, usual - slack)
+                if k < len(used) and used[k] <= usual + slack:
                     continue
-                usual = max(Counter(begins[lo:i]).items(), key=lambda x: (x[1], -x[0]))[0]
-                first, last, lo = begins[lo], begins[i - 1], i
+                insort(used, usual)
                 pairs: list[tuple[int, int]] = []
                 # The narrowest window that will do: what stands around may repeat the template's words.
-                for x, y in ((usual, usual), (first, last), (first - slack, last + slack)):
+                for x, y in ((usual, usual), (usual - slack, usual + slack)):
                     at, part = max(0, x), words[max(0, x) : y + len(template)]
                     if len(pairs) < len(template) and sum((Counter(part) & Counter(template)).values()) >= least * len(template):
                         got = align(part, template)
