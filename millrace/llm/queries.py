@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_query, fingerprints_query, html_text_query, licenses_query, line_dedup_query, mixing_query, quality_query, simhash_dedup_query, toxicity_query
+from millrace.llm import bpe_query, fingerprints_query, html_text_query, licenses_query, line_dedup_query, mixing_query, quality_query, secrets_query, simhash_dedup_query, toxicity_query
 
-_MODULES = (bpe_query, fingerprints_query, html_text_query, licenses_query, line_dedup_query, mixing_query, quality_query, simhash_dedup_query, toxicity_query)
+_MODULES = (bpe_query, fingerprints_query, html_text_query, licenses_query, line_dedup_query, mixing_query, quality_query, secrets_query, simhash_dedup_query, toxicity_query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
