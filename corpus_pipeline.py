@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n, p, times = fresh_name(docs, "n_tokens"), fresh_name(docs, "posteriors"), fresh_name(docs, "times")
     members = mixing.memberships(docs, model, tokens=n, posteriors=p)
     fitted = mixing.fit_rates(members.select(n, p), TARGETS, model.domains, Scratch(spark, "mixing"), tokens=n, posteriors=p)
-    rated = members.join(fitted, p).withColumn(times, mixing.copies(F.col("rate"), F.col("doc_id")))
+    rated = mixing.with_rates(members, fitted, p).withColumn(times, mixing.copies(F.col("rate"), F.col("doc_id")))
     return rated.withColumn(times, F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times))))).select(docs.columns)
 
 

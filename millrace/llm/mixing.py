@@ -36,22 +36,24 @@ from millrace.llm.common import WORD_SPLIT, Scratch, fresh_name
 BUCKETS = 1024
 MAX_LABELLED = 20_000
 EVIDENCE = 20.0
+LOSS_SCALE, LOSS_MOST = 64, 768
 GRID = 64
 STEPS = 50
 TOLERANCE = 1e-4
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT, -1), lambda w: w != "")
+    """The words of a text in lower case; one empty word for a text without words."""
+    return F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), WORD_SPLIT, -1)
 
 
-def _buckets(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _array(values) -> Column:
+def _array(values: list[int]) -> Column:
     """A constant array; one literal for the optimizer, not one for each value."""
-    return F.from_json(F.lit(json.dumps([round(float(x), 4) for x in values])), "array<double>")
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 @dataclass(frozen=True)
@@ -62,11 +64,10 @@ class Membership:
     log_p: tuple[tuple[float, ...], ...]
 
     @classmethod
-    def learn(cls, labelled: DataFrame, domains: list[str], *, text: str = "text", domain: str = "domain", max_labelled: int = MAX_LABELLED) -> Membership:
-        """`labelled` has a text and its domain; rows of other domains are let go."""
+    def learn(cls, labelled: DataFrame, domains: list[str], *, text: str = "text", domain: str = "domain") -> Membership:
+        """`labelled` has a text and its domain (`labelled_texts` bounds it); rows of other domains are let go."""
         rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{domain}`").cast("string").alias("k")).where(F.col("k").isin(domains))
-        sample = rows.orderBy(F.xxhash64("t"), "k").limit(max_labelled)
-        counts = sample.select("k", F.explode(_buckets(F.col("t"))).alias("b")).groupBy("k", "b").count()
+        counts = rows.select("k", F.explode(words(F.col("t"))).alias("w")).select("k", _bucket(F.col("w")).alias("b")).groupBy("k", "b").count()
         seen: dict[str, dict[int, int]] = {k: {} for k in domains}
         for r in counts.collect():  # a row for each domain and bucket at most
             seen[r["k"]][r["b"]] = r["count"]
@@ -76,11 +77,42 @@ class Membership:
             table.append(tuple(math.log((seen[k].get(b, 0) + 0.1) / (total + 0.1 * BUCKETS)) for b in range(BUCKETS)))
         return cls(tuple(domains), tuple(table))
 
-    def posteriors(self, buckets: Column) -> Column:
-        """Array of the domains' posteriors, in steps of 1/GRID."""
-        scores = F.array(*[_score(buckets, _array(p)) for p in self.log_p])
-        weight = F.lit(EVIDENCE) / F.greatest(F.size(buckets).cast("double"), F.lit(EVIDENCE))
-        return _let(_let(scores, lambda s: _softmax(s, weight)), _rounded)
+    def losses(self) -> list[list[int]]:
+        """For each domain and bucket how much less likely the bucket is than in its best domain, in 1/LOSS_SCALE."""
+        top = [max(column) for column in zip(*self.log_p)]
+        return [[min(LOSS_MOST, round((t - x) * LOSS_SCALE)) for x, t in zip(row, top)] for row in self.log_p]
+
+    def membership(self, text: Column) -> Column:
+        """Struct of the number of words and the domains' posteriors, the latter in steps of 1/GRID."""
+        return _let(words(text), self._of_words)
+
+    def _of_words(self, w: Column) -> Column:
+        n = F.when((F.size(w) == 1) & (F.get(w, F.lit(0)) == ""), F.lit(0)).otherwise(F.size(w)).cast("long")
+        losses = self.losses()
+        # Two domains' sums share a long; texts so long that a sum could overflow its half get one each.
+        half = F.lit((1 << 32) - 1)
+        paired = []
+        for k in range(0, len(losses), 2):
+            lanes = [a + (b << 32) for a, b in zip(losses[k], losses[k + 1] if k + 1 < len(losses) else [0] * BUCKETS)]
+            paired.append((_let(_summed(w, lanes), lambda s: F.array(s.bitwiseAND(half), F.shiftrightunsigned(s, 32)))))
+        short = F.slice(F.flatten(F.array(*paired)), 1, len(losses))
+        long = F.array(*[_summed(w, x) for x in losses])
+        sums = F.when(F.size(w) <= (1 << 31) // LOSS_MOST, short).otherwise(long)
+        weight = F.lit(EVIDENCE) / F.greatest(n.cast("double"), F.lit(EVIDENCE)) / F.lit(-float(LOSS_SCALE))
+        p = F.when(n == 0, F.array(*[F.lit(1.0)] * len(losses))).otherwise(_let(sums, lambda x: _softmax(x, weight)))
+        return F.struct(n.alias("n"), _let(_let(p, _shares), _rounded).alias("p"))
+
+
+def _summed(w: Column, per_bucket: list[int]) -> Column:
+    table = _array(per_bucket)
+    return F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.get(table, _bucket(x)))
+
+
+def labelled_texts(docs: DataFrame, good: DataFrame, *, doc_id: str = "doc_id", text: str = "text", domain: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Rows (text, domain) of at most `max_labelled` of the documents named in `good`, those with the smallest hash of doc_id."""
+    chosen = good.select(F.col(f"`{doc_id}`").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), docs[f"`{domain}`"].alias("domain"))
+    return own.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "domain")
 
 
 def _let(value: Column, f) -> Column:
@@ -88,13 +120,9 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _score(buckets: Column, log_p: Column) -> Column:
-    return F.aggregate(buckets, F.lit(0.0), lambda a, i: a + F.get(log_p, i))
-
-
 def _softmax(scores: Column, weight: Column) -> Column:
-    odds = _let(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp((s - top) * weight)))
-    return _let(odds, _shares)
+    """Odds of each score; `weight` is negative, so the least score is the best."""
+    return _let(F.array_min(scores), lambda best: F.transform(scores, lambda s: F.exp((s - best) * weight)))
 
 
 def _shares(x: Column) -> Column:
@@ -109,11 +137,9 @@ def _rounded(p: Column) -> Column:
 
 def memberships(df: DataFrame, model: Membership, *, text: str = "text", tokens: str = "n_tokens", posteriors: str = "posteriors") -> DataFrame:
     """`df` with its number of tokens and its posteriors."""
-    b = fresh_name(df, "buckets")
-    s = fresh_name(df, "membership")
-    with_buckets = df.withColumn(b, _buckets(F.col(f"`{text}`")))
-    out = with_buckets.withColumn(s, F.struct(F.size(b).cast("long").alias("n"), model.posteriors(F.col(b)).alias("p")))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (tokens, posteriors)], F.col(f"{s}.n").alias(tokens), F.col(f"{s}.p").alias(posteriors))
+    m = fresh_name(df, "membership")
+    out = df.withColumn(m, model.membership(F.col(f"`{text}`")))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (tokens, posteriors)], F.col(f"{m}.n").alias(tokens), F.col(f"{m}.p").alias(posteriors))
 
 
 def _solve(gram: list[list[float]], gap: list[float]) -> list[float]:
@@ -175,9 +201,16 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], scratch:
     model = Membership.learn(labelled, list(targets))
     members = memberships(df, model, text=text)
     fitted = fit_rates(members, targets, model.domains, scratch, total=total)
-    return _with_rates(members, fitted)
+    return with_rates(members, fitted, "posteriors")
+
 
+def with_rates(members: DataFrame, fitted: DataFrame, posteriors: str) -> DataFrame:
+    """`members` with the rate of their posteriors.
 
-def _with_rates(members: DataFrame, fitted: DataFrame) -> DataFrame:
-    # The grid bounds the number of vectors for a few domains; Spark broadcasts only a small table.
-    return members.join(fitted, "posteriors").select(*[F.col(f"`{c}`") for c in members.columns], "rate")
+    The grid bounds the number of vectors for a few domains; Spark broadcasts only a
+    small table. The null-safe comparison keeps Spark from filtering by posteriors
+    first, which would work them out twice.
+    """
+    rates = fitted.select(F.col(posteriors).alias("__p"), F.col("rate").alias("__rate"))
+    joined = members.join(rates, members[posteriors].eqNullSafe(rates["__p"]))
+    return joined.select(*[F.col(f"`{c}`") for c in members.columns if c != "rate"], F.col("__rate").alias("rate"))

@@ -14,8 +14,7 @@ TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of the documents that the labels call good, with their language as domain."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+    return mixing.labelled_texts(docs, labels.where("quality = 1"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.Membership.learn(labelled_domains(docs, table(spark, sf_dir, "labels")), list(TARGETS))
     members = scratch.save(mixing.memberships(docs.select("doc_id", "source", "text"), model).drop("text"), "members")
     fitted = mixing.fit_rates(members, TARGETS, model.domains, scratch)
-    out = mixing._with_rates(members, fitted)
+    out = mixing.with_rates(members, fitted, "posteriors")
     return out.select("doc_id", "source", "n_tokens", *[F.get("posteriors", i).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
