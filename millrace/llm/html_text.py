@@ -121,6 +121,8 @@ def blocks(page: str) -> list[Block]:
             add(" ")
             continue
         if m[1]:
+            if tag in BLOCK_TAGS:  # a stray one parts blocks too
+                flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     if any(f[1] for f in stack[k:]):
@@ -315,8 +317,10 @@ def _source_side(to_content: list[int], to_boiler: list[int], edges: dict[tuple[
     """
     n = len(to_content)
     excess = [a - b for a, b in zip(to_content, to_boiler)]
-    if not edges or all(e >= 0 for e in excess) or all(e <= 0 for e in excess):
+    if not edges:
         return [e > 0 for e in excess]
+    if all(e >= 0 for e in excess) or all(e <= 0 for e in excess):
+        return [any(e > 0 for e in excess)] * n
     s, t = n, n + 1
     heads: list[list[int]] = [[] for _ in range(n + 2)]
     end: list[int] = []
