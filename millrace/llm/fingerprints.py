@@ -46,7 +46,7 @@ def terms(text: Column) -> Column:
 
 
 def _hash_words(term: Column) -> list[Column]:
-    return [term, F.xxhash64(term, F.lit(1))]
+    return [term, F.when(term.isNotNull(), F.xxhash64(term, F.lit(1)))]
 
 
 def vote_sums(term: str) -> list[Column]:
