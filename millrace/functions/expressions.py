@@ -68,17 +68,21 @@ def numeric(value: Column, kind: T.DataType) -> Column | None:
 
 @dataclass(frozen=True)
 class Condition:
-    """A condition and the reason why a row can't be judged; `safe` if there never is one."""
+    """A condition, the reason why a row can't be judged, and the field that has to be there."""
 
     holds: Column
     error: Column
+    field: Column | None = None
 
     @property
     def wanted(self) -> Column:
-        return F.coalesce(self.holds, F.lit(False))
+        """True or false for every row; only true where the row can be judged."""
+        return F.coalesce(self.plain, F.lit(False))
 
-
-_NO_ERROR = None
+    @property
+    def plain(self) -> Column:
+        """For a filter without dead letters, in a form that reaches the scan."""
+        return self.holds if self.field is None else self.field.isNotNull() & self.holds
 
 
 def no_error() -> Column:
@@ -109,7 +113,7 @@ def compile_filter(text: str, payload: Column, kind: T.DataType, *, strict: bool
     error = F.when(value.isNull(), F.lit(missing))
     if op in ("==", "!="):
         same = _equal(value, at, literal, strict)
-        return Condition(same if op == "==" else ~same, error)
+        return Condition(same if op == "==" else ~same, error, value)
     if op not in _COMPARE:
         return Condition(F.lit(False), error.otherwise(F.lit(UNSUPPORTED_OPERATOR.format(op))))
     number = numeric(value, at)

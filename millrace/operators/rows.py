@@ -39,7 +39,7 @@ def with_errors(df: DataFrame) -> DataFrame:
 def filter_events(df: DataFrame, op: S.Filter, operator_id: str = "filter", *, strict: bool = False) -> DataFrame:
     c = X.compile_filter(op.expression, F.col("payload"), _kind(df), strict=strict)
     if not _routes(df):
-        return df.where(c.holds & c.error.isNull()) if "==" not in op.expression else df.where(c.holds)
+        return df.where(c.plain)
     marked = _mark(df, c.error, operator_id)
     return marked.where(F.col("_error").isNotNull() | c.wanted)
 

@@ -33,8 +33,9 @@ def consumer_lag(watermarks: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 def checkpoint_age(checkpoints: DataFrame, now: int) -> DataFrame:
     """Seconds since the newest checkpoint (`created_at` in seconds)."""
-    age = F.greatest(F.lit(0), F.lit(now) - F.max("created_at"))
-    return checkpoints.agg(F.coalesce(age, F.lit(NO_CHECKPOINT_AGE)).cast("long").alias("checkpoint_age_secs"))
+    newest = F.max("created_at")
+    age = F.when(newest.isNull(), F.lit(NO_CHECKPOINT_AGE)).otherwise(F.greatest(F.lit(0), F.lit(now) - newest))
+    return checkpoints.agg(age.cast("long").alias("checkpoint_age_secs"))
 
 
 def is_ready(now: int, stale_after: int) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any, ClassVar
 
 
@@ -188,6 +188,3 @@ def _plain(x: Any) -> Any:
 def replaced(p: Pipeline, **changes: Any) -> Pipeline:
     """A copy of `p` with other values."""
     return Pipeline(**({f.name: getattr(p, f.name) for f in fields(p)} | changes))
-
-
-__all__ = [n for n in dir() if n[0].isupper()] + ["replaced", "asdict"]

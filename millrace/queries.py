@@ -268,7 +268,7 @@ wk as (select 'worker-' || cast(s_suppkey as varchar) as worker_id, case when s_
 rj as (select o as replay_job_id, case o % 4 when 0 then 'pending' when 1 then 'running' when 2 then 'succeeded' else 'failed' end as status from log where o % 1000 < 4),
 dl as (select p as partition_id, o as event_offset from log where event_type = 'error')"""
 _LAG = "(select cast(coalesce(sum(greatest(0, max_offset - coalesce(c, 0))), 0) as bigint) as consumer_lag from hw left join (select partition_id, max(kafka_offset) as c from ck group by 1) using (partition_id))"
-_AGE = f"(select coalesce(greatest(0, {NOW} - max(created_at)), 4294967295) as checkpoint_age_secs from ck)"
+_AGE = f"(select case when max(created_at) is null then 4294967295 else greatest(0, {NOW} - max(created_at)) end as checkpoint_age_secs from ck)"
 
 
 def _metadata(spark: SparkSession, d: str) -> dict[str, DataFrame]:
