@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     spec = bpe.read_spec(public_tokenizers.path("word_bpe_49k.json"))
-    return bpe.encode_documents(docs, spec, keep=["doc_id", "lang", "source"]).drop("decoded")
+    return bpe.encode_documents(docs, spec, keep=["doc_id", "lang", "source"], decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -35,9 +35,10 @@ from pyspark.sql import types as T
 #: Unicode white space as regular expressions of the tokenizer files mean it.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _END_SHIFT = 0x400  # a word's last symbol is another symbol than the same byte elsewhere
-_CACHE_WORDS = 450_000  # in each of two generations
+_CACHE_WORDS = 150_000  # in each of two generations
+_ROWS = 256  # texts whose tokens are held at a time
 _CACHE_CHARS = 40  # longer words are encoded each time
-_PAIR_MEMO = 1_000_000
+_PAIR_MEMO = 250_000
 _CHUNKS = re.compile(f"[^{_SPACE}]+").findall
 
 
@@ -326,16 +327,18 @@ def map_encoded(df: DataFrame, spec: str, make: Callable[[Encoded], tuple], made
 
         c = codec(shared.value)
         kinds = [to_arrow_type(f.dataType) for f in made]
-        for b in batches:
+        for b in (x.slice(i, _ROWS) for x in batches for i in range(0, x.num_rows, _ROWS)):
             rows = [make(c.encode(t.as_py())) for t in b.column(b.num_columns - 1)]
-            new = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            new = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*keep, *names])
 
     inputs = [df[f"`{c}`"] for c in keep] + [df[f"`{text}`"].cast("string").alias("_text")]
     return df.select(inputs).mapInArrow(run, schema)
 
 
-def encode_documents(df: DataFrame, spec: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds `token_ids` (array of int), `n_tokens` (long) and `decoded` (string)."""
-    made = T.StructType().add("token_ids", T.ArrayType(T.IntegerType(), False)).add("n_tokens", T.LongType()).add("decoded", T.StringType())
-    return map_encoded(df, spec, lambda e: (e.ids, len(e), e.decoded), made, text=text, keep=keep)
+def encode_documents(df: DataFrame, spec: str, *, text: str = "text", keep: list[str] | None = None, decoded: bool = True) -> DataFrame:
+    """Adds `token_ids` (array of int), `n_tokens` (long) and, if wanted, `decoded` (string)."""
+    made = T.StructType().add("token_ids", T.ArrayType(T.IntegerType(), False)).add("n_tokens", T.LongType())
+    if decoded:
+        return map_encoded(df, spec, lambda e: (e.ids, len(e), e.decoded), made.add("decoded", T.StringType()), text=text, keep=keep)
+    return map_encoded(df, spec, lambda e: (e.ids, len(e)), made, text=text, keep=keep)
