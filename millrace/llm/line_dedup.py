@@ -7,8 +7,8 @@
    holds candidates. With 12 bands of 4 values a pair at the threshold 0.8 meets
    with probability 0.998, closer pairs still more surely.
 3. Exact Jaccard of the shingle sets confirms pairs: first each member of a bucket
-   against its smallest, then, only in buckets that are not one component by then,
-   all members of different components, in blocks of bounded size. Pairs that a
+   against its smallest, then, only in buckets where that did not join all,
+   all members that are not joined yet, in blocks of bounded size. Pairs that a
    component joins already are not looked at, so a bucket of thousands of copies of
    one line costs one comparison for each, and no bucket emits all its pairs.
 4. Distributed union-find gives components; of each component's occurrences the
@@ -29,6 +29,7 @@ different lines share a key with probability 2^-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +40,22 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch, fresh_name
 from millrace.llm.components import connected_components
 
-SHINGLE = 8
+SHINGLE = 8  # a power of two
 MIN_CHARS = 24
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BITMAP_BITS = 1 << 24
 BLOCK = 512
-_SEEN = 400_000
-_BATCH_CHARS = 1 << 21
+_SEEN = 250_000
+_BATCH_CHARS = 1 << 19
+_CHUNK_CHARS = 1 << 17  # arrays of this many numbers stay in a core's cache
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def normalized(line: str) -> str:
+    """White space collapsed, lower case."""
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line.lower()  # no white space but single spaces
     return " ".join(line.split()).lower()
 
 
@@ -65,32 +70,58 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(2)
+def _sources(k: int) -> np.ndarray:
+    """Where bin c looks at its attempt t: anywhere at first, in turn at last."""
+    t, c = np.arange(4 * k)[:, None], np.arange(k)[None, :]
+    return np.where(t < 3 * k, (_mix((c * 1000 + t).astype(np.uint64)) % np.uint64(k)).astype(np.int64), (c + t) % k)
+
+
 def band_hashes(lines: list[str]) -> np.ndarray:
     """Hashes of the bands of each line's signature; every line has SHINGLE characters at least."""
+    out, lo, chars = [], 0, 0
+    for i, line in enumerate(lines):
+        chars += len(line)
+        if chars >= _CHUNK_CHARS or i == len(lines) - 1:
+            out.append(_band_hashes(lines[lo : i + 1]))
+            lo, chars = i + 1, 0
+    return np.concatenate(out)
+
+
+def _band_hashes(lines: list[str]) -> np.ndarray:
     k = BANDS * ROWS
     n = len(lines)
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     size = np.fromiter(map(len, lines), dtype=np.int64, count=n)
-    rolled = codes[: len(codes) - SHINGLE + 1].copy()
-    for j in range(1, SHINGLE):
-        rolled *= np.uint64(0x9E3779B97F4A7C15)
-        rolled += codes[j : len(codes) - SHINGLE + 1 + j]
+    rolled, step, factor = codes, 1, 0x9E3779B97F4A7C15
+    while step < SHINGLE:  # hashes of runs twice as long from those of neighbouring runs
+        rolled = rolled[:-step] * np.uint64(factor) + rolled[step:]
+        step, factor = 2 * step, factor * factor % (1 << 64)
     grams = size - (SHINGLE - 1)
-    line = np.repeat(np.arange(n), grams)
-    at = np.arange(len(line)) + np.repeat(np.arange(n) * (SHINGLE - 1), grams)
-    h = _mix(rolled[at])
-    slot = line * k + (((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
+    begins = np.cumsum(grams)
+    line = np.zeros(begins[-1], dtype=np.int64)
+    line[begins[:-1]] = 1
+    np.cumsum(line, out=line)
+    h = _mix(rolled[np.arange(len(line)) + line * (SHINGLE - 1)])
+    slot = h >> np.uint64(32)
+    slot *= np.uint64(k)
+    slot >>= np.uint64(32)
+    slot = slot.view(np.int64)
+    line *= k
+    slot += line
     flat = np.full(n * k, _EMPTY, dtype=np.uint32)
     np.minimum.at(flat, slot, h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
     first = flat.reshape(n, k)
     full = first.copy()
-    bins = np.arange(k)
+    rows, cols = np.nonzero(first == _EMPTY)
     for t in range(1, 4 * k):  # an empty bin takes the value of the first full one of its own sequence
-        rows, cols = np.nonzero(full == _EMPTY)
         if not len(rows):
             break
-        source = _mix((bins * 1000 + t).astype(np.uint64)) % np.uint64(k) if t < 3 * k else (bins + t) % k
-        full[rows, cols] = first[rows, source.astype(np.int64)[cols]]
+        source = _sources(k)[t, cols]
+        found = first[rows, source]
+        full[rows, cols] = found
+        still = found == _EMPTY
+        rows, cols = rows[still], cols[still]
     out = np.empty((n, BANDS), dtype=np.uint64)
     for b in range(BANDS):
         x = np.full(n, b + 1, dtype=np.uint64)
@@ -100,8 +131,12 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+_SLICES = [slice(i, i + SHINGLE) for i in range(4096)]
+
+
 def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+    n = max(1, len(line) - SHINGLE + 1)
+    return set(map(line.__getitem__, _SLICES[:n] if n <= len(_SLICES) else (slice(i, i + SHINGLE) for i in range(n))))
 
 
 def jaccard(a: set[str], b: set[str]) -> float:
@@ -143,7 +178,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
                         fresh.append(norm)
                         chars += len(norm)
                     rows.append((row_key, doc_id, no, key))
-                    if chars >= _BATCH_CHARS or len(rows) >= 50_000:
+                    if chars >= _BATCH_CHARS or len(rows) >= 20_000:
                         yield make(rows, fresh, where)
                         rows, fresh, where, chars = [], [], [], 0
         if rows:
@@ -188,8 +223,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those rows (a, b) of `pairs` whose lines are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
         for b in batches:
-            ok = [_similar(shingles(x), shingles(y), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if y != last:  # rows come sorted by the smaller line's key
+                    last, own = y, shingles(y)
+                ok.append(_similar(shingles(x), own, least))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("x"))
@@ -198,49 +238,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between lines of different `root` in the buckets of `members` (band, key, root).
+    """Links (a, b) between lines of different `root` in the buckets of `members` (band, key, least, root).
 
     A bucket is dealt into blocks, and every pair of blocks is one piece of work of
-    bounded size; a piece returns no more links than it has lines.
+    bounded size; a piece returns no more links than it has lines. Buckets with the
+    same smallest member, mostly the same lines met in other bands, go to one task
+    and a pair is looked at once.
     """
     rank = F.row_number().over(Window.partitionBy("band").orderBy("key"))
     blocks = members.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
     blocks = blocks.withColumn("blocks", F.max("block").over(Window.partitionBy("band")) + 1)
-    dealt = blocks.select("band", "key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "root").join(texts, "key")
-    work = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "key").select("band", "lo", "hi", "key", "root", "line")
+    dealt = blocks.select("band", "key", "least", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("least", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "key", "root").join(texts, "key")
+    order = ["least", "lo", "hi", "band", "key"]
+    work = dealt.repartition("least", "lo", "hi").sortWithinPartitions(*order).select(*order, "root", "line")
 
-    def links(group: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = band_now = None
+        sets: dict[int, set[str]] = {}  # of the lines of one piece of work
+        apart: set[tuple[int, int]] = set()
         parent: dict[int, int] = {}
+        group: list[tuple[int, int]] = []
 
         def find(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        out = []
-        clusters: dict[int, list[tuple[int, set[str]]]] = {}
-        for key, root, line in group:
-            own = shingles(line)
-            for other in [*clusters]:
-                if other != find(root) and any(_similar(own, s, least) and not out.append((key, k)) for k, s in clusters[other]):
+        def links() -> list[tuple[int, int]]:
+            out = []
+            clusters: dict[int, list[int]] = {}
+            for key, root in group:
+                for other in [*clusters]:
                     home = find(root)
-                    parent[other] = home
-                    clusters[home] = clusters.get(home, []) + clusters.pop(other)
-            clusters.setdefault(find(root), []).append((key, own))
-        return out
+                    if other == home or other != find(other):
+                        continue
+                    for k in clusters[other]:
+                        if (k, key) in apart:
+                            continue
+                        if _similar(sets[key], sets[k], least):
+                            out.append((key, k))
+                            parent[other] = home
+                            clusters[home] = clusters.get(home, []) + clusters.pop(other)
+                            break
+                        apart.add((k, key))
+                clusters.setdefault(find(root), []).append(key)
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
         for b in batches:
             found: list[tuple[int, int]] = []
-            for band, lo, hi, key, root, line in zip(*(c.to_pylist() for c in b.columns)):
-                if (band, lo, hi) != now:
-                    found += links(group)
-                    now, group = (band, lo, hi), []
-                group.append((key, root, line))
+            for first, lo, hi, band, key, root, line in zip(*(c.to_pylist() for c in b.columns)):
+                if (first, lo, hi) != place or band != band_now:
+                    found += links()
+                    group = []
+                    if (first, lo, hi) != place:
+                        place = (first, lo, hi)
+                        sets, apart, parent = {}, set(), {}
+                    band_now = band
+                if key not in sets:
+                    sets[key] = shingles(line)
+                group.append((key, root))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-        found = links(group)
+        found = links()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return work.mapInArrow(run, "a long, b long").distinct()
@@ -249,15 +308,16 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> Data
 def _components(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
     """Rows (node, root) of the keys that are similar to others."""
     every = lines.where("bands is not null").select("key", F.explode("bands").alias("band"))
-    distinct = every.repartition("band").dropDuplicates(["band", "key"])
+    # Sorted by band and key, a line that several tasks met first stands beside itself.
     w = Window.partitionBy("band").orderBy("key")
-    met = distinct.select("band", "key", F.lag("key").over(w).alias("before"), F.lead("key").over(w).alias("after"), F.first("key").over(w).alias("least"))
-    members = scratch.save(met.where("before is not null or after is not null").select("band", "key", "least"), "members")
+    met = every.select("band", "key", F.lag("key").over(w).alias("before"), F.first("key").over(w).alias("least"), F.max("key").over(Window.partitionBy("band")).alias("most"))
+    once = (F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("key")))
+    members = scratch.save(met.where(once).select("band", "key", "least"), "members")
     texts = scratch.save(_texts(docs, members, min_chars), "texts")
     pairs = members.where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     edges = scratch.save(_verified(pairs, texts, similarity), "edges")
-    roots = scratch.save(connected_components(edges, "a", "b", scratch), "roots")
-    rooted = members.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    met_least = edges.select(F.col("a").alias("key"), F.col("b").alias("least"), F.lit(True).alias("joined"))
+    rooted = members.join(met_least, ["key", "least"], "left").select("band", "key", "least", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("root"))
     split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band")
     more = scratch.save(_verified_blocks(rooted.join(split, "band", "left_semi"), texts, similarity), "more-edges")
     return connected_components(edges.union(more), "a", "b", scratch)
@@ -287,7 +347,7 @@ def deduplicate_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     gone = repeated_lines(df, scratch, doc_id=doc_id, text=text, min_chars=min_chars, similarity=similarity).where("not first")
     key, numbers = fresh_name(df, "row_key"), fresh_name(df, "line_numbers")
     gone = gone.groupBy(F.col("row_key").alias(key)).agg(F.collect_set("line_no").alias(numbers))
-    docs = df.withColumn(key, F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"])).join(gone, key, "left")
+    docs = df.withColumn(key, F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"])).join(gone.hint("shuffle_hash"), key, "left")
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
     rest = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
