@@ -1,8 +1,10 @@
 """Fuzzy line deduplication over a whole corpus.
 
-1. Every line of at least `min_chars` characters (white space collapsed, lower
-   case) gets a 64-bit key and a MinHash signature over its character shingles, by
-   one permutation hashing with densification. Equal lines are one key from here on.
+1. Every line that isn't blank (white space collapsed, lower case) gets a 64-bit key
+   and a MinHash signature over its character shingles, by one permutation hashing
+   with densification. Equal lines are one key from here on. A line shorter than a
+   shingle is its own only shingle, so it is similar to equal lines alone: it needs
+   the key and no signature.
 2. Bands of the signature are shuffled; a bucket with two or more distinct keys
    holds candidates. With 12 bands of 4 values a pair at the threshold 0.8 meets
    with probability 0.998, closer pairs still more surely.
@@ -18,8 +20,8 @@ The texts of candidate lines are gathered by a second pass over the documents,
 behind a bitmap of the candidates' keys whose size is fixed (`BITMAP_BITS`); where
 it fills up it lets more lines through, and a join sorts those out.
 
-Defined results: lines shorter than `min_chars`, blank ones included, stay; a null
-text stays null; rows that repeat both doc_id and text are one document, and each
+Defined results: blank lines stay, and so do lines shorter than `min_chars` where a
+caller asks for more than 1; a null text stays null; rows that repeat both doc_id and text are one document, and each
 keeps the same lines; a null doc_id comes first in the order; equal positions can
 only arise between rows of one doc_id and then the smaller hash of the row comes
 first; extra columns are passed through; an empty table gives an empty result. Two
@@ -41,7 +43,7 @@ from millrace.llm.common import Scratch, fresh_name
 from millrace.llm.components import connected_components
 
 SHINGLE = 8  # a power of two
-MIN_CHARS = 24
+MIN_CHARS = 1
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BITMAP_BITS = 1 << 24
@@ -78,7 +80,7 @@ def _sources(k: int) -> np.ndarray:
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
-    """Hashes of the bands of each line's signature; every line has SHINGLE characters at least."""
+    """Hashes of the bands of each line's signature."""
     out, lo, chars = [], 0, 0
     for i, line in enumerate(lines):
         chars += len(line)
@@ -91,6 +93,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
 def _band_hashes(lines: list[str]) -> np.ndarray:
     k = BANDS * ROWS
     n = len(lines)
+    lines = [x.ljust(SHINGLE, "\0") for x in lines]
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     size = np.fromiter(map(len, lines), dtype=np.int64, count=n)
     rolled, step, factor = codes, 1, 0x9E3779B97F4A7C15
@@ -150,7 +153,7 @@ def _similar(a: set[str], b: set[str], least: float) -> bool:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Rows (row_key, doc_id, line_no, key, bands); bands only where a task meets the line first."""
+    """Rows (row_key, doc_id, line_no, key, bands); bands only where a task meets the line first, if it has a shingle's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -174,9 +177,10 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
                         if len(seen) >= _SEEN:
                             seen.clear()
                         seen.add(key)
-                        where.append(len(rows))
-                        fresh.append(norm)
-                        chars += len(norm)
+                        if len(norm) >= SHINGLE:
+                            where.append(len(rows))
+                            fresh.append(norm)
+                            chars += len(norm)
                     rows.append((row_key, doc_id, no, key))
                     if chars >= _BATCH_CHARS or len(rows) >= 20_000:
                         yield make(rows, fresh, where)
@@ -329,8 +333,8 @@ def repeated_lines(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", t
     `group` names the component, `first` says that the line is the one to keep.
     row_key is the hash of (doc_id, text).
     """
-    if min_chars < SHINGLE:
-        raise ValueError(f"min_chars must be {SHINGLE} at least")
+    if min_chars < 1:
+        raise ValueError("min_chars must be 1 at least")
     docs = df.select(F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"]).alias("row_key"), df[f"`{doc_id}`"].cast("long").alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
     lines = scratch.save(_lines(docs, min_chars), "lines")
     found = scratch.save(_components(docs, lines, scratch, min_chars, similarity), "components")

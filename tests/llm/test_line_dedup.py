@@ -103,3 +103,9 @@ def test_repeated_rows_and_empty_tables(spark, docs, tmp_path):
     docs([(1, "one " * 50_000), (2, "one " * 50_000)]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in line_dedup_query.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert got[1].n_chars == 200_000 and got[2].text == "" and got[2].removed_lines == 1
+
+
+def test_short_lines_are_compared_too(spark, docs):
+    rows = [(1, "All rights reserved.\nof.\n\nof.\nx"), (2, "a text of its own\n  ALL rights  reserved.\n\nX\nno. 12345678901"), (3, "No. 123456789012\nall rights waived.")]
+    out = {r.doc_id: r.text for r in L.deduplicate_lines(docs(rows)).collect()}
+    assert out == brute(rows) == {1: "All rights reserved.\nof.\n\nx", 2: "a text of its own\n\nno. 12345678901", 3: "all rights waived."}
