@@ -7,11 +7,13 @@ All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import bpe, line_dedup, mixing, quality, simhash_dedup
 from millrace.llm.common import WORD_PATTERN, Scratch, fresh_name, table
@@ -49,9 +51,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document, and the digest of the text that decoding them gives."""
     spec = bpe.read_spec(public_tokenizers.path("word_bpe_49k.json"))
-    return bpe.encode_documents(docs, spec, keep=["doc_id", "lang", "source"], decoded=False)
+    made = T.StructType().add("token_ids", T.ArrayType(T.IntegerType(), False)).add("n_tokens", T.LongType()).add("decoded_sha256", T.StringType())
+    return bpe.map_encoded(docs, spec, lambda e: (e.ids, len(e), hashlib.sha256(e.decoded.encode("utf-8")).hexdigest()), made, keep=["doc_id", "lang", "source"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -59,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("line dedup", dedup_lines),
     ("SimHash near-dedup", dedup_documents),
     ("mixing sources", mix_sources),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: Learned rules, fingerprints and token ids can't be had in SQL.

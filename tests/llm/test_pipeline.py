@@ -1,6 +1,11 @@
+import hashlib
+
 import corpus_pipeline as C
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from millrace.llm import bpe
+
 
 def test_stages_on_the_small_table(spark, tmp_path):
     d = "/root/testdata/sf0.001"
@@ -35,3 +40,13 @@ def test_empty_table(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_last_stage_decodes(spark, docs):
+    codec = bpe.codec(bpe.read_spec(public_tokenizers.path("word_bpe_49k.json")))
+    texts = {1: "Some words, and SOME numbers: 12345.", 2: "", 3: None, 4: "été 日本 🙂"}
+    got = C.encode(spark, docs([*texts.items()]), "").collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert list(r.token_ids) == codec.encode(texts[r.doc_id]).ids
+        assert r.decoded_sha256 == hashlib.sha256(codec.decode(r.token_ids).encode("utf-8")).hexdigest()
