@@ -6,10 +6,14 @@ so that a term's weight is its number of occurrences, and a bit is set where the
 votes are positive. All of it is DataFrame expressions: votes are counted two to a
 long by ordinary sums, right where a text's terms are made, without a shuffle.
 
-`within_radius` uses permuted block tables: the bits are cut into radius + 1
-blocks, of which two fingerprints within the radius share one at least; each table
-is keyed by one block, and a hit in several is verified and told once. Equal
-fingerprints are one entry, so groups of copies don't multiply.
+`within_radius` uses permuted block tables: the bits are cut into blocks, so many
+that two fingerprints within the radius differ in at most `flips` bits of one of
+them; each table is keyed by one block and asked for the block's value with every
+choice of that many bits flipped, and a hit in several is verified and told once.
+Equal fingerprints are one entry, so groups of copies don't multiply.
+
+Two radii are counted: `RADIUS`, within which there is little but exact copies, and
+`COPY_RADIUS`, which takes in copies with a few words changed.
 
 `next_in_order` gives each row the text of the next one without a global sort: the
 order is cut into ranges by quantiles, rows are shuffled by range once, and the
@@ -23,6 +27,7 @@ extra columns are not looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 
@@ -33,6 +38,8 @@ from millrace.llm.common import WORD_SPLIT, Scratch
 
 BITS = 128
 RADIUS = 3
+COPY_RADIUS = 20  # near copies (5-word Jaccard 0.8 or more) lie up to 19 bits apart
+FLIPS = 2
 _HALF = 1 << 32
 _FIRST = -(1 << 63)
 
@@ -140,37 +147,63 @@ def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str =
     return both.where(~F.col("extra")).select("doc_id", "n_chars", "edited_sha256", "a0", "a1", "b0", "b1", "next0", "next1")
 
 
-def _blocks(words: list[Column], radius: int) -> Column:
-    """The radius + 1 blocks of the bits, each a string of bits as a number, most even."""
-    bits = F.concat(*[F.lpad(F.bin(w), 64, "0") for w in words])
-    n = radius + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
+def _cuts(radius: int, flips: int) -> list[int]:
+    """Bounds of the blocks: were all of them more than `flips` bits apart, the whole would be more than `radius`."""
+    n = radius // (flips + 1) + 1
+    return [BITS * i // n for i in range(n + 1)]
+
+
+def _blocks(words: list[Column], cuts: list[int]) -> Column:
+    """The blocks of the bits between `cuts`, each as a number of 63 bits at most."""
+
+    def block(a: int, b: int) -> Column:
+        mask = F.lit((1 << (b - a)) - 1).cast("long")
+        if b <= 64:
+            return F.shiftrightunsigned(words[0], 64 - b).bitwiseAND(mask)
+        low = F.shiftrightunsigned(words[1], 128 - b)
+        return (low if a >= 64 else F.shiftleft(words[0], b - 64).bitwiseOR(low)).bitwiseAND(mask)
+
+    return F.array(*[block(a, b) for a, b in zip(cuts, cuts[1:])])
 
 
-def within_radius(asked: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (q0, q1, w0, w1, apart): all distinct fingerprints of `known` (w0, w1) within `radius` bits of those of `asked`."""
+def _flipped(width: int, flips: int) -> list[int]:
+    """Masks of all choices of up to `flips` of `width` bits."""
+    return [sum(1 << i for i in c) for k in range(flips + 1) for c in itertools.combinations(range(width), k)]
+
+
+def within_radius(asked: DataFrame, known: DataFrame, radius: int = RADIUS, flips: int = 0) -> DataFrame:
+    """Rows (q0, q1, w0, w1, apart): all distinct fingerprints of `known` (w0, w1) within `radius` bits of those of `asked`.
+
+    More `flips` make fewer and longer blocks, which more values of `asked` are tried in.
+    """
+    cuts = _cuts(radius, flips)
+    of_q, of_w = _blocks([F.col("q0"), F.col("q1")], cuts), _blocks([F.col("w0"), F.col("w1")], cuts)
+    masks = F.from_json(F.lit(json.dumps([_flipped(b - a, flips) for a, b in zip(cuts, cuts[1:])])), "array<array<bigint>>")
     q = asked.select(F.col("w0").alias("q0"), F.col("w1").alias("q1")).distinct()
-    q = q.select("q0", "q1", F.posexplode(_blocks([F.col("q0"), F.col("q1")], radius)).alias("block", "value"), _blocks([F.col("q0"), F.col("q1")], radius).alias("qb"))
+    q = q.select("q0", "q1", F.posexplode(of_q).alias("block", "own")).withColumn("mask", F.explode(F.get(masks, F.col("block"))))
+    q = q.select("q0", "q1", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     k = known.select("w0", "w1").distinct()
-    k = k.select("w0", "w1", F.posexplode(_blocks([F.col("w0"), F.col("w1")], radius)).alias("block", "value"))
+    k = k.select("w0", "w1", F.posexplode(of_w).alias("block", "value"))
     apart = F.bit_count(F.col("q0").bitwiseXOR(F.col("w0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("w1")))
-    # A pair that shares several blocks is told by the first of them.
-    first = F.array_position(F.zip_with("qb", _blocks([F.col("w0"), F.col("w1")], radius), lambda a, b: a == b), True) == F.col("block") + 1
-    return q.join(k, ["block", "value"]).where((apart <= radius) & first).select("q0", "q1", "w0", "w1", apart.alias("apart"))
+    # A pair that meets in several blocks is told by the first of them.
+    first = F.array_position(F.zip_with(of_q, of_w, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= flips), True) == F.col("block") + 1
+    # Spark doesn't see how many rows the masks make, and would broadcast them.
+    return q.hint("merge").join(k, ["block", "value"]).where((apart <= radius) & first).select("q0", "q1", "w0", "w1", apart.alias("apart"))
 
 
-def near_counts(prints: DataFrame, asked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (q0, q1, n_near): how many rows of `prints` (w0, w1) lie within `radius` of each fingerprint of `asked`, itself included."""
+def near_counts(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, copy_radius: int = COPY_RADIUS) -> DataFrame:
+    """Rows (q0, q1, n_near, n_near_copies): how many rows of `prints` (w0, w1) lie within each radius of each fingerprint of `asked`, itself included."""
     times = prints.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("times"))
-    return within_radius(asked, prints, radius).join(times, ["w0", "w1"]).groupBy("q0", "q1").agg(F.sum("times").alias("n_near"))
+    found = within_radius(asked, prints, max(radius, copy_radius), FLIPS).join(times, ["w0", "w1"])
+    count = lambda r: F.coalesce(F.sum(F.when(F.col("apart") <= r, F.col("times"))), F.lit(0).cast("long"))
+    return found.groupBy("q0", "q1").agg(count(radius).alias("n_near"), count(copy_radius).alias("n_near_copies"))
 
 
-def fingerprints_with_neighbours(df: DataFrame, scratch: Scratch, *, every: int = 100, radius: int = RADIUS) -> DataFrame:
-    """`fingerprint_documents` with `n_near`: for doc_ids divisible by `every` the number of rows within the radius, else null."""
+def fingerprints_with_neighbours(df: DataFrame, scratch: Scratch, *, every: int = 100, radius: int = RADIUS, copy_radius: int = COPY_RADIUS) -> DataFrame:
+    """`fingerprint_documents` with `n_near` and `n_near_copies`: for doc_ids divisible by `every` the numbers of rows within the two radii, else null."""
     found = scratch.save(fingerprint_documents(df), "fingerprints")
     prints = found.select(F.col("a0").alias("w0"), F.col("a1").alias("w1"))
     asked = prints.where(found["doc_id"] % every == 0)
-    counts = near_counts(prints, asked, radius)
+    counts = near_counts(prints, asked, radius, copy_radius)
     queries = found.where(F.col("doc_id") % every == 0).join(counts, (F.col("a0") == F.col("q0")) & (F.col("a1") == F.col("q1")), "left").drop("q0", "q1")
-    return queries.unionByName(found.where(F.coalesce(F.col("doc_id") % every != 0, F.lit(True))).withColumn("n_near", F.lit(None).cast("long")))
+    return queries.unionByName(found.where(F.coalesce(F.col("doc_id") % every != 0, F.lit(True))).withColumns({n: F.lit(None).cast("long") for n in ("n_near", "n_near_copies")}))

@@ -15,7 +15,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprints_with_neighbours(docs, Scratch(spark, "fingerprints"))
     a, b, following = ([F.col(f"{k}0"), F.col(f"{k}1")] for k in ("a", "b", "next"))
     like = fingerprints.likeness
-    return found.select("doc_id", "n_chars", "edited_sha256", fingerprints.text_of(a).alias("fingerprint"), fingerprints.text_of(b).alias("edited_fingerprint"), like(a, b).alias("near_edited"), like(a, following).alias("near_next"), "n_near")
+    return found.select("doc_id", "n_chars", "edited_sha256", fingerprints.text_of(a).alias("fingerprint"), fingerprints.text_of(b).alias("edited_fingerprint"), like(a, b).alias("near_edited"), like(a, following).alias("near_next"), "n_near", "n_near_copies")
 
 
 QUERIES = {"op4_fingerprints": op4_fingerprints}

@@ -83,3 +83,30 @@ def test_one_row_and_none(spark, docs):
     assert P.fingerprints_with_neighbours(docs([]), Scratch(spark, "test")).count() == 0
     many = P.next_in_order(docs([(i, str(i)) for i in range(50)]), ranges=7).where("not extra").collect()
     assert {r.doc_id: r.next_text for r in many} == {i: str((i - 1) % 50) for i in range(50)}
+
+
+def test_near_copies_are_counted(spark, docs, tmp_path):
+    r = random.Random(8)
+    base = [f"w{r.randrange(3000)}" for _ in range(300)]
+    rows = [(100, " ".join(base)), (1, " ".join(base))]
+    for k in range(2, 12):
+        w = list(base)
+        for i in r.sample(range(300), k // 2):
+            w[i] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(20 + i, " ".join(f"w{r.randrange(3000)}" for _ in range(300))) for i in range(30)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in fingerprints_query.op4_fingerprints(spark, str(tmp_path)).collect()}
+    apart = [(int(got[100].fingerprint, 16) ^ int(x.fingerprint, 16)).bit_count() for x in got.values()]
+    assert got[100].n_near == sum(a <= 3 for a in apart) and got[100].n_near_copies == sum(a <= P.COPY_RADIUS for a in apart) > 6
+    assert all(x.n_near_copies is None for i, x in got.items() if i != 100)
+
+
+def test_block_tables_with_flips_find_all_within_the_radius(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(128) for _ in range(8)]
+    prints = base + [b ^ sum(1 << i for i in r.sample(range(128), k)) for b in base for k in range(1, 26)]
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    df = spark.createDataFrame([(signed(p >> 64), signed(p % 2**64)) for p in prints], "w0 long, w1 long")
+    got = [(x.q0 % 2**64 << 64 | x.q1 % 2**64, x.w0 % 2**64 << 64 | x.w1 % 2**64, x.apart) for x in P.within_radius(df.limit(8), df, P.COPY_RADIUS, P.FLIPS).collect()]
+    assert sorted(got) == sorted((a, b, (a ^ b).bit_count()) for a in base for b in prints if (a ^ b).bit_count() <= P.COPY_RADIUS)
