@@ -153,7 +153,8 @@ def blocks(page: str) -> list[Block]:
         _, _, flags, link, skipped, number, inside = stack[-1]
         flags |= _BIT.get(tag, 0) if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else 0
         if m[3]:
-            flags |= _attribute_flags(m[3][:2000])
+            # Long ones are seldom repeated and would fill the cache.
+            flags |= (_attribute_flags if len(m[3]) <= 2000 else _attribute_flags.__wrapped__)(m[3])
         is_block = tag in BLOCK_TAGS
         if is_block:
             count += 1

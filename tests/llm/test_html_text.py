@@ -92,3 +92,10 @@ def test_all_articles_of_the_small_table(spark):
         body = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", s)).split()) for s in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(filter(None, parts))
+
+
+def test_attributes_after_a_long_value_are_seen():
+    long = f'style="background:url(data:image/png;base64,{"iVBORw0KGgo" * 400})"'
+    for attrs in ('class="sidebar"', "hidden", 'role="navigation"', 'id="comments"'):
+        short, late = (H.blocks(f"<div {x}><p>Some text of this block.</p></div>")[0].flags for x in (attrs, f"{long} {attrs}"))
+        assert short and late == short
