@@ -8,9 +8,11 @@
 2. Bands of the signature are shuffled; a bucket with two or more distinct keys
    holds candidates. With 12 bands of 4 values a pair at the threshold 0.8 meets
    with probability 0.998, closer pairs still more surely.
-3. Exact Jaccard of the shingle sets confirms pairs: first each member of a bucket
-   against its smallest, then, only in buckets where that did not join all,
-   all members that are not joined yet, in blocks of bounded size. Pairs that a
+3. Exact Jaccard of the shingle sets (64-bit hashes of the shingles) confirms pairs:
+   first each member of a bucket against its smallest, then, only in buckets of three
+   or more where that did not join all, the members that are not joined yet, in blocks
+   of bounded size. Bitmaps of the shingles rule out most pairs that aren't similar
+   before their sets are made, and no others. Pairs that a
    component joins already are not looked at, so a bucket of thousands of copies of
    one line costs one comparison for each, and no bucket emits all its pairs.
 4. Distributed union-find gives components; of each component's occurrences the
@@ -48,6 +50,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BITMAP_BITS = 1 << 24
 BLOCK = 512
+BITS = 2048
 _SEEN = 250_000
 _BATCH_CHARS = 1 << 19
 _CHUNK_CHARS = 1 << 17  # arrays of this many numbers stay in a core's cache
@@ -67,9 +70,12 @@ def line_key(line: str) -> int:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 @lru_cache(2)
@@ -79,39 +85,51 @@ def _sources(k: int) -> np.ndarray:
     return np.where(t < 3 * k, (_mix((c * 1000 + t).astype(np.uint64)) % np.uint64(k)).astype(np.int64), (c + t) % k)
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """Hashes of the bands of each line's signature."""
-    out, lo, chars = [], 0, 0
+def _chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of a bounded number and of bounded length, but for a line that is longer by itself."""
+    lo = chars = 0
     for i, line in enumerate(lines):
         chars += len(line)
-        if chars >= _CHUNK_CHARS or i == len(lines) - 1:
-            out.append(_band_hashes(lines[lo : i + 1]))
+        if chars >= _CHUNK_CHARS or i - lo >= 1023:
+            yield lo, i + 1
             lo, chars = i + 1, 0
-    return np.concatenate(out)
+    if lo < len(lines):
+        yield lo, len(lines)
 
 
-def _band_hashes(lines: list[str]) -> np.ndarray:
-    k = BANDS * ROWS
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """Hashes of the bands of each line's signature."""
+    return np.concatenate([_band_hashes(lines[lo:hi]) for lo, hi in _chunks(lines)])
+
+
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lines' shingles one after the other, and the line that each is of."""
     n = len(lines)
     lines = [x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     size = np.fromiter(map(len, lines), dtype=np.int64, count=n)
     rolled, step, factor = codes, 1, 0x9E3779B97F4A7C15
-    while step < SHINGLE:  # hashes of runs twice as long from those of neighbouring runs
+    while 2 * step <= SHINGLE:  # hashes of runs twice as long from those of neighbouring runs
         rolled = rolled[:-step] * np.uint64(factor) + rolled[step:]
         step, factor = 2 * step, factor * factor % (1 << 64)
-    grams = size - (SHINGLE - 1)
-    begins = np.cumsum(grams)
-    line = np.zeros(begins[-1], dtype=np.int64)
-    line[begins[:-1]] = 1
-    np.cumsum(line, out=line)
-    h = _mix(rolled[np.arange(len(line)) + line * (SHINGLE - 1)])
+    if rest := SHINGLE - step:  # two runs that overlap
+        rolled = rolled[:-rest] * np.uint64(factor) + rolled[rest:]
+    ends = np.cumsum(size)
+    whole = np.ones(len(codes), dtype=bool)  # no run that goes on into the next line
+    for k in range(1, SHINGLE):
+        whole[ends - k] = False
+    return _mix(rolled[whole[: len(rolled)]]), np.repeat(np.arange(n), size - (SHINGLE - 1))
+
+
+def _band_hashes(lines: list[str]) -> np.ndarray:
+    k = BANDS * ROWS
+    n = len(lines)
+    h, line = _shingle_hashes(lines)
     slot = h >> np.uint64(32)
     slot *= np.uint64(k)
     slot >>= np.uint64(32)
     slot = slot.view(np.int64)
-    line *= k
-    slot += line
+    slot += line * k
     flat = np.full(n * k, _EMPTY, dtype=np.uint32)
     np.minimum.at(flat, slot, h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
     first = flat.reshape(n, k)
@@ -125,31 +143,51 @@ def _band_hashes(lines: list[str]) -> np.ndarray:
         full[rows, cols] = found
         still = found == _EMPTY
         rows, cols = rows[still], cols[still]
-    out = np.empty((n, BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        x = np.full(n, b + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            x = _mix(x + full[:, b * ROWS + r] * np.uint64(0x9E3779B97F4A7C15))
-        out[:, b] = x
-    return out.view(np.int64)
-
-
-_SLICES = [slice(i, i + SHINGLE) for i in range(4096)]
-
-
-def shingles(line: str) -> set[str]:
-    n = max(1, len(line) - SHINGLE + 1)
-    return set(map(line.__getitem__, _SLICES[:n] if n <= len(_SLICES) else (slice(i, i + SHINGLE) for i in range(n))))
-
-
-def jaccard(a: set[str], b: set[str]) -> float:
-    common = len(a & b)
-    return common / (len(a) + len(b) - common)
-
-
-def _similar(a: set[str], b: set[str], least: float) -> bool:
-    small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-    return small >= least * large and jaccard(a, b) >= least
+    parts = full.reshape(n, BANDS, ROWS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS))
+    for r in range(ROWS):
+        x = _mix(x + parts[:, :, r])
+    return x.view(np.int64)
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each line's shingles."""
+    out = []
+    for lo, hi in _chunks(lines):
+        h, at = _shingle_hashes(lines[lo:hi])
+        ends = np.flatnonzero(np.diff(at, append=hi - lo)) + 1
+        for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            x = np.sort(h[begin:end])
+            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have a Jaccard of `least` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common) >= least
+
+
+def bitmaps(lines: list[str]) -> list[int]:
+    """For each line a number with a bit set for every value of its shingles' hashes modulo BITS."""
+    out: list[int] = []
+    for lo, hi in _chunks(lines):
+        h, at = _shingle_hashes(lines[lo:hi])
+        bits = np.zeros((hi - lo, BITS), dtype=np.uint8)
+        bits.reshape(-1)[at * BITS + (h & np.uint64(BITS - 1)).view(np.int64)] = 1
+        packed = np.packbits(bits, axis=1).tobytes()
+        out += [int.from_bytes(packed[k : k + BITS // 8]) for k in range(0, len(packed), BITS // 8)]
+    return out
+
+
+def _may_be_similar(x: int, y: int, m: int, n: int, least: float) -> bool:
+    """Whether lines with bitmaps x and y and m and n shingles can be: bits of one alone are shingles of one alone."""
+    common = min(m, n)
+    return common >= least * (common + (x ^ y).bit_count())
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -159,12 +197,13 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
         seen: set[int] = set()
 
         def make(rows: list, fresh: list[str], where: list[int]) -> pa.RecordBatch:
-            bands = [None] * len(rows)
-            if fresh:
-                for i, x in zip(where, band_hashes(fresh)):
-                    bands[i] = x
+            has = np.zeros(len(rows), dtype=bool)
+            has[where] = True
+            ends = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
+            values = pa.array(band_hashes(fresh).reshape(-1) if fresh else [], pa.int64())
+            bands = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~has))
             r, d, n, k = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row_key", "doc_id", "line_no", "key", "bands"])
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int64()), bands], ["row_key", "doc_id", "line_no", "key", "bands"])
 
         rows, fresh, where, chars = [], [], [], 0
         for b in batches:
@@ -226,14 +265,21 @@ def _texts(docs: DataFrame, members: DataFrame, min_chars: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those rows (a, b) of `pairs` whose lines are similar."""
 
+    def checked(xs: list[str], ys: list[str]) -> list[bool]:
+        own = [*dict.fromkeys(ys)]  # rows come sorted by the smaller line's key
+        own_bits = dict(zip(own, bitmaps(own)))
+        ok = [_may_be_similar(x_bits, own_bits[y], len(x) - SHINGLE + 1, len(y) - SHINGLE + 1, least) for x, x_bits, y in zip(xs, bitmaps(xs), ys)]
+        left = [i for i, maybe in enumerate(ok) if maybe]
+        needed = [*dict.fromkeys(ys[i] for i in left)]
+        sets = dict(zip(needed, shingle_sets(needed)))
+        for i, x in zip(left, shingle_sets([xs[i] for i in left])):
+            ok[i] = similar(x, sets[ys[i]], least)
+        return ok
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if y != last:  # rows come sorted by the smaller line's key
-                    last, own = y, shingles(y)
-                ok.append(_similar(shingles(x), own, least))
+            xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+            ok = [maybe for lo, hi in _chunks(xs) for maybe in checked(xs[lo:hi], ys[lo:hi])]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("x"))
@@ -242,24 +288,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between lines of different `root` in the buckets of `members` (band, key, least, root).
+    """Links (a, b) between lines of different `root` in the buckets of `members` (band, key, least, root, n).
 
-    A bucket is dealt into blocks, and every pair of blocks is one piece of work of
-    bounded size; a piece returns no more links than it has lines. Buckets with the
-    same smallest member, mostly the same lines met in other bands, go to one task
-    and a pair is looked at once.
+    A bucket of n lines is dealt into blocks by the lines' hashes, and every pair of
+    blocks is one piece of work of bounded size; a piece returns no more links than
+    it has lines. Buckets with the same smallest member, mostly the same lines met in
+    other bands, go to one task and a pair is looked at once. That no line of another
+    root is similar to the bucket's smallest is known already.
     """
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("key"))
-    blocks = members.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
-    blocks = blocks.withColumn("blocks", F.max("block").over(Window.partitionBy("band")) + 1)
-    dealt = blocks.select("band", "key", "least", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.select("band", "key", "least", "root", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("least", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "key", "root").join(texts, "key")
     order = ["least", "lo", "hi", "band", "key"]
     work = dealt.repartition("least", "lo", "hi").sortWithinPartitions(*order).select(*order, "root", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = band_now = None
-        sets: dict[int, set[str]] = {}  # of the lines of one piece of work
+        known: dict[int, tuple[str, int]] = {}  # lines of one piece of work, with their bitmaps
+        sets: dict[int, np.ndarray] = {}  # of those that needed them
         apart: set[tuple[int, int]] = set()
         parent: dict[int, int] = {}
         group: list[tuple[int, int]] = []
@@ -269,6 +315,15 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> Data
                 parent[x] = x = parent[parent[x]]
             return x
 
+        def alike(a: int, b: int) -> bool:
+            (x, x_bits), (y, y_bits) = known[a], known[b]
+            if not _may_be_similar(x_bits, y_bits, len(x) - SHINGLE + 1, len(y) - SHINGLE + 1, least):
+                return False
+            for key, line in ((a, x), (b, y)):
+                if key not in sets:
+                    sets[key] = shingle_sets([line])[0]
+            return similar(sets[a], sets[b], least)
+
         def links() -> list[tuple[int, int]]:
             out = []
             clusters: dict[int, list[int]] = {}
@@ -278,9 +333,9 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> Data
                     if other == home or other != find(other):
                         continue
                     for k in clusters[other]:
-                        if (k, key) in apart:
+                        if k == place[0] or key == place[0] or (k, key) in apart:
                             continue
-                        if _similar(sets[key], sets[k], least):
+                        if alike(key, k):
                             out.append((key, k))
                             parent[other] = home
                             clusters[home] = clusters.get(home, []) + clusters.pop(other)
@@ -291,16 +346,19 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> Data
 
         for b in batches:
             found: list[tuple[int, int]] = []
-            for first, lo, hi, band, key, root, line in zip(*(c.to_pylist() for c in b.columns)):
+            rows = [*zip(*(c.to_pylist() for c in b.columns))]
+            lines = {r[4]: r[6] for r in rows}
+            bits = dict(zip(lines, bitmaps([*lines.values()])))
+            for first, lo, hi, band, key, root, line in rows:
                 if (first, lo, hi) != place or band != band_now:
-                    found += links()
+                    if len(group) > 1:
+                        found += links()
                     group = []
                     if (first, lo, hi) != place:
                         place = (first, lo, hi)
-                        sets, apart, parent = {}, set(), {}
+                        known, sets, apart, parent = {}, {}, set(), {}
                     band_now = band
-                if key not in sets:
-                    sets[key] = shingles(line)
+                known[key] = line, bits[key]
                 group.append((key, root))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
         found = links()
@@ -311,19 +369,17 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> Data
 
 def _components(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
     """Rows (node, root) of the keys that are similar to others."""
-    every = lines.where("bands is not null").select("key", F.explode("bands").alias("band"))
-    # Sorted by band and key, a line that several tasks met first stands beside itself.
-    w = Window.partitionBy("band").orderBy("key")
-    met = every.select("band", "key", F.lag("key").over(w).alias("before"), F.first("key").over(w).alias("least"), F.max("key").over(Window.partitionBy("band")).alias("most"))
-    once = (F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("key")))
-    members = scratch.save(met.where(once).select("band", "key", "least"), "members")
+    # One exchange serves both the aggregate and the join. Several tasks may have met a line first.
+    every = lines.where("bands is not null").select("key", F.explode("bands").alias("band")).repartition("band")
+    shared = every.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("band", "least")
+    members = scratch.save(every.join(shared.hint("shuffle_hash"), "band").select("band", "key", "least").distinct(), "members")
     texts = scratch.save(_texts(docs, members, min_chars), "texts")
     pairs = members.where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     edges = scratch.save(_verified(pairs, texts, similarity), "edges")
     met_least = edges.select(F.col("a").alias("key"), F.col("b").alias("least"), F.lit(True).alias("joined"))
-    rooted = members.join(met_least, ["key", "least"], "left").select("band", "key", "least", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band")
-    more = scratch.save(_verified_blocks(rooted.join(split, "band", "left_semi"), texts, similarity), "more-edges")
+    rooted = members.join(met_least, ["key", "least"], "left").select("band", "key", "least", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("root")).repartition("band")
+    split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y and n > 2").select("band", "n")
+    more = scratch.save(_verified_blocks(rooted.join(split.hint("shuffle_hash"), "band"), texts, similarity), "more-edges")
     return connected_components(edges.union(more), "a", "b", scratch)
 
 
@@ -338,11 +394,14 @@ def repeated_lines(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", t
     docs = df.select(F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"]).alias("row_key"), df[f"`{doc_id}`"].cast("long").alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
     lines = scratch.save(_lines(docs, min_chars), "lines")
     found = scratch.save(_components(docs, lines, scratch, min_chars, similarity), "components")
-    grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("row_key", "doc_id", "line_no", F.coalesce("root", "key").alias("group"))
+    grouped = lines.join(found.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").select("row_key", "doc_id", "line_no", F.coalesce("root", "key").alias("group"))
     grouped = scratch.save(grouped, "grouped")
+    # A saved table is on either side of the joins, so that Spark can split a very common line's rows.
+    times = scratch.save(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("group"), "repeated")
+    again = scratch.save(grouped.join(times.hint("shuffle_hash"), "group"), "again")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("line_no").alias("n"), F.col("row_key").alias("r"))
-    firsts = grouped.groupBy("group").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    return grouped.join(firsts, "group").select("row_key", "doc_id", "line_no", "group", (place == F.col("least")).alias("first"))
+    firsts = scratch.save(again.groupBy("group").agg(F.min(place).alias("least")), "firsts")
+    return again.join(firsts.hint("shuffle_hash"), "group").select("row_key", "doc_id", "line_no", "group", (place == F.col("least")).alias("first"))
 
 
 def deduplicate_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
@@ -352,8 +411,10 @@ def deduplicate_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     key, numbers = fresh_name(df, "row_key"), fresh_name(df, "line_numbers")
     gone = gone.groupBy(F.col("row_key").alias(key)).agg(F.collect_set("line_no").alias(numbers))
     docs = df.withColumn(key, F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"])).join(gone.hint("shuffle_hash"), key, "left")
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
-    rest = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+    # A column of its own: inside the function over the lines the text would be split for each of them.
+    parts = fresh_name(docs, "parts")
+    docs = docs.withColumn(parts, F.when(F.col(numbers).isNotNull(), F.split(F.col(f"`{text}`"), "\n", -1)))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(numbers))
+    rest = F.array_join(F.transform(keep, lambda i: F.get(F.col(parts), i)), "\n")
     columns = [F.when(F.col(numbers).isNull(), F.col(f"`{text}`")).otherwise(rest).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c != "removed_lines"]
     return docs.select(*columns, F.coalesce(F.size(numbers), F.lit(0)).alias("removed_lines"))

@@ -7,6 +7,14 @@ from millrace.llm import line_dedup as L
 from millrace.llm import line_dedup_query
 
 
+def shingles(line):
+    return {line[i : i + L.SHINGLE] for i in range(max(1, len(line) - L.SHINGLE + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def brute(docs):
     """Text of each document after dedup, by comparing all lines with each other."""
     where = {}
@@ -15,7 +23,7 @@ def brute(docs):
             if len(x := L.normalized(line)) >= L.MIN_CHARS:
                 where.setdefault(x, []).append((-(1 << 63) if d is None else d, n))
     lines = list(where)
-    sets = [L.shingles(x) for x in lines]
+    sets = [shingles(x) for x in lines]
     parent = list(range(len(lines)))
 
     def find(x):
@@ -24,7 +32,7 @@ def brute(docs):
         return x
 
     for i, j in itertools.combinations(range(len(lines)), 2):
-        if L.jaccard(sets[i], sets[j]) >= L.SIMILARITY:
+        if jaccard(sets[i], sets[j]) >= L.SIMILARITY:
             parent[find(i)] = find(j)
     first = {}
     for i, x in enumerate(lines):
@@ -82,13 +90,29 @@ def test_recall_of_banding():
         for _ in range(k):
             b[r.randrange(len(b))] = "z"
         b = "".join(b)
-        if L.jaccard(L.shingles(a), L.shingles(b)) >= L.SIMILARITY:
+        if jaccard(shingles(a), shingles(b)) >= L.SIMILARITY:
             x, y = L.band_hashes([a, b])
             met += bool((x == y).any())
             total += 1
     assert total > 100 and met / total > 0.99
 
 
+def test_sets_and_bitmaps_of_any_lines():
+    r = random.Random(3)
+    lines = ["".join(r.choices("abc é😀", k=r.choice([1, 7, 8, 9, 40, 3000]))) for _ in range(60)]
+    lines += [x[: len(x) // 2] + "z" + x[len(x) // 2 :] for x in lines] + ["a" * 500, "a" * 501]
+    sets, bits = L.shingle_sets(lines), L.bitmaps(lines)
+    assert [len(x) for x in sets] == [len(shingles(x)) for x in lines]
+    count = 0
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        true = jaccard(shingles(lines[i]), shingles(lines[j])) >= L.SIMILARITY
+        assert L.similar(sets[i], sets[j], L.SIMILARITY) == true
+        m, n = (max(1, len(lines[k]) - L.SHINGLE + 1) for k in (i, j))
+        assert not true or L._may_be_similar(bits[i], bits[j], m, n, L.SIMILARITY)
+        count += true
+    assert count > 20
+
+
 def test_signatures_do_not_depend_on_the_batch():
     lines = [t for _, d in corpus() for t in d.split("\n") if len(t) >= L.MIN_CHARS]
     together = L.band_hashes(lines)
