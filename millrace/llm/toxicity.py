@@ -4,19 +4,25 @@ Learning sees a bounded sample of labelled rows (`MAX_LABELLED`, those with the
 smallest hash of doc_id). Near copies among them are found by sketches and share
 one vote, so that a text that was copied often teaches no more than one that
 wasn't. Features are words, and beginnings of words with how often they occur; those
-whose presence goes with the label are taken, at most `MAX_FEATURES`, together with
-the identity terms. In labelled sentences that name
-a group, the name is swapped for others; in others a word is replaced by one; the
-change of score between the two versions is penalised, so that naming a group
-moves no score.
+whose presence goes with the label are taken, at most `MAX_FEATURES` (the strongest),
+together with the identity terms. A beginning that an identity term has is no feature,
+or it would carry what the term itself must not.
+
+One sentence of each labelled text, one that names a group where there is any, is
+written anew with every identity term: in place of the terms that it has, or after one
+of its words if it has none. Features are taken from each new text, and the squared
+change of the score's log odds against the sentence as it was is penalised, so that
+naming a group, or another one, moves no score.
 
 Scoring is one pass over whole texts with the weights of a few thousand words.
 
 Defined results: a null or empty text has the score of a text without any known
 word; repeated rows have equal scores; a null doc_id counts as held out; labels
-that are null or contradict each other are not learned from; without usable labels
-every score is the neutral prior 0; extra columns are not looked at; an empty table
-gives an empty result.
+that are null or contradict each other are not learned from; of rows that share a doc_id
+the smallest text is; without labels of both classes every score is the share of
+label 1 among those there are and `PRIOR` more, of which one is; texts are read whole,
+whatever their length; features that tie in strength are taken in alphabetical order;
+extra columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,7 +56,9 @@ IDENTITY_TERMS = (
 MAX_LABELLED = 8_000
 MAX_FEATURES = 1_000
 MIN_Z = 3.5
-PAIRS = 2_000
+PRIOR = 20
+L2 = 3e-4
+COUNTERFACTUAL = 100.0
 BEGINS = (4, 5, 7)
 BEGIN_LEVELS = (1, 3, 6)
 _SKETCH = 16
@@ -62,10 +70,14 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+_TERMS = frozenset(IDENTITY_TERMS)
+_TERM_BEGINS = frozenset(t[:k] for t in IDENTITY_TERMS for k in BEGINS if len(t) >= k)
+
+
 def features_of(text: str | None, wanted: frozenset[str] | None = None) -> set[str]:
     """Words, and beginnings of longer words marked with the levels of BEGIN_LEVELS that their number reaches.
 
-    With `wanted`, only beginnings in it are counted.
+    With `wanted`, only beginnings in it are counted. Beginnings of identity terms never are.
     """
     times = Counter(_WORD.findall((text or "").lower()))
     begins: dict[str, int] = {}
@@ -74,11 +86,30 @@ def features_of(text: str | None, wanted: frozenset[str] | None = None) -> set[s
             if len(w) <= k:
                 break
             b = w[:k]
-            if wanted is None or b in wanted:
+            if (wanted is None or b in wanted) and b not in _TERM_BEGINS:
                 begins[b] = begins.get(b, 0) + n
     return {*times, *(f"{b}*{level}" for b, n in begins.items() for level in BEGIN_LEVELS if n >= level)}
 
 
+def counterfactuals(sentence: str) -> Iterator[str]:
+    """The sentence with each identity term in turn, in place of those it has or after one of its words."""
+    low = sentence.lower()
+    named = [m for m in _WORD.finditer(low) if m[0] in _TERMS]
+    if named:
+        parts, at = [], 0
+        for m in named:
+            parts.append(low[at : m.start()])
+            at = m.end()
+        parts.append(low[at:])
+        for t in IDENTITY_TERMS:
+            yield t.join(parts)
+        return
+    words = [*_WORD.finditer(low)]
+    at = words[xxhash.xxh3_64_intdigest(low) % len(words)].end() if words else 0
+    for t in IDENTITY_TERMS:
+        yield f"{low[:at]} {t} {low[at:]}"
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: CRC-32 of doc_id as text divisible by 5, or no doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
@@ -145,47 +176,80 @@ def _examples(labelled: DataFrame) -> DataFrame:
                 ws = words_of(text)
                 words.append(sorted(features_of(text)))
                 sketches.append(_sketch(ws))
-                parts = [features_of(s) for s in re.split(r"[.!?\n]+", text)]
-                named = [p for p in parts if not p.isdisjoint(IDENTITY_TERMS)] or [p for p in parts if p] or [set()]
-                sentences.append(sorted(named[xxhash.xxh3_64_intdigest(text) % len(named)]))
-            strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, strings), pa.array(sketches, pa.list_(pa.int64())), pa.array(sentences, strings)], ["doc_id", "y", "words", "sketch", "sentence"])
-
-    return labelled.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, words array<string>, sketch array<long>, sentence array<string>")
-
-
-def _fit(x: np.ndarray, y: np.ndarray, votes: np.ndarray, one: np.ndarray, other: np.ndarray, *, l2: float = 3e-4, counterfactual: float = 1.0, steps: int = 500) -> np.ndarray:
-    """Weights, the last one the bias: mean log loss + l2 + mean squared change of score between `one` and `other`."""
-    x, one, other = (np.hstack([m, np.ones((len(m), 1), np.float32)]) for m in (x, one, other))
-    v = (votes / votes.sum()).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    keep = np.ones_like(w)
-    keep[-1] = 0
-    for k in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (v * (p - y)) + l2 * keep * w
-        if len(one):
-            a, b = 1 / (1 + np.exp(-one @ w)), 1 / (1 + np.exp(-other @ w))
-            d = 2 * counterfactual * (a - b) / len(one)
-            g = g + one.T @ (d * a * (1 - a)) - other.T @ (d * b * (1 - b))
-        m1 = 0.9 * m1 + 0.1 * g
-        m2 = 0.99 * m2 + 0.01 * g * g
-        w = w - 0.05 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
+                parts = [p for p in re.split(r"[.!?\n]+", text) if _WORD.search(p)]
+                named = [p for p in parts if not _TERMS.isdisjoint(words_of(p))] or parts or [""]
+                sentences.append(named[xxhash.xxh3_64_intdigest(text) % len(named)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array(sketches, pa.list_(pa.int64())), pa.array(sentences, pa.string())], ["doc_id", "y", "words", "sketch", "sentence"])
+
+    return labelled.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, words array<string>, sketch array<long>, sentence string")
+
+
+def _penalty(examples: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """Mean outer product of the changes of features between sentences and their counterfactuals."""
+    shared = examples.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(shared.value)}
+        wanted = frozenset(f.partition("*")[0] for f in at if "*" in f)
+        sums: Counter = Counter()
+        pairs = 0
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                own = {at[f] for f in features_of(s, wanted) if f in at}
+                for other in counterfactuals(s):
+                    its = {at[f] for f in features_of(other, wanted) if f in at}
+                    change = [(i, 1) for i in its - own] + [(i, -1) for i in own - its]
+                    sums.update({(i, j): x * y for i, x in change for j, y in change})
+                    pairs += 1
+        rows = [(i, j, float(n)) for (i, j), n in sums.items()] + [(-1, -1, float(pairs))]
+        i, j, n = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n, pa.float64())], ["i", "j", "n"])
+
+    # A row for two features at most, of the few that sentences and terms bring in.
+    got = examples.select("sentence").mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    own = got["i"] >= 0
+    out = np.zeros((len(vocabulary), len(vocabulary)))
+    out[got.loc[own, "i"], got.loc[own, "j"]] = got.loc[own, "n"]
+    return out / max(1.0, float(got.loc[~own, "n"].sum()))
+
+
+def _fit(x: np.ndarray, y: np.ndarray, votes: np.ndarray, penalty: np.ndarray, *, l2: float = L2, counterfactual: float = COUNTERFACTUAL, steps: int = 50) -> np.ndarray:
+    """Weights, the last one the bias, by Newton steps on mean log loss + l2 + counterfactual * mean squared change of the log odds, halved."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    v = votes / votes.sum()
+    fixed = np.zeros((x.shape[1], x.shape[1]))
+    fixed[:-1, :-1] = counterfactual * penalty
+    fixed[np.diag_indices(len(fixed))] += l2
+    fixed[-1, -1] = 1e-9  # the bias is free
+    loss = lambda w: float(v @ np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)) + w @ fixed @ w / 2)
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        gradient = x.T @ (v * (p - y)) + fixed @ w
+        along = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + fixed, gradient)
+        step = 1.0
+        while (then := loss(w - step * along)) > now and step > 1e-6:
+            step /= 2
+        if now - then < 1e-9:
+            break
+        w, now = w - step * along, then
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Classifier:
     """A classifier from the labelled rows of `docs` that aren't held out."""
     spark = docs.sparkSession
     rows = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other and y in (0, 1)").select("doc_id", "y")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # small enough to broadcast
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     examples = scratch.save(_examples(texts), "examples")
     known = examples.select("doc_id", "y", "sketch").orderBy("doc_id").toPandas()
     if known["y"].nunique() < 2:
-        return Classifier(-40.0, {})
+        share = (float(known["y"].sum()) + 1) / (len(known) + PRIOR)
+        return Classifier(math.log(share / (1 - share)), {})
     known["vote"] = _votes([list(s) for s in known["sketch"]])
     votes = spark.createDataFrame(known[["doc_id", "vote"]])
     good, bad = (float(known.loc[known["y"] == k, "vote"].sum()) for k in (0, 1))
@@ -193,32 +257,19 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, doc_id: str =
     q, m = F.greatest(F.lit(bad + 1) - p, F.lit(0.5)), F.greatest(F.lit(good + 1) - n, F.lit(0.5))
     counts = examples.join(F.broadcast(votes), "doc_id").select("y", "vote", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("vote") * F.col("y")).alias("p"), F.sum(F.col("vote") * (1 - F.col("y"))).alias("n"))
     z = F.abs(F.log(p) - F.log(q) - F.log(n) + F.log(m)) / F.sqrt(1 / p + 1 / q + 1 / n + 1 / m)
-    chosen = [r["word"] for r in counts.where(F.col("p") + F.col("n") >= 4).select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()]
+    chosen = [r["word"] for r in counts.where(F.col("p") + F.col("n") >= 4).select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(max_features).collect()]
     vocabulary = list(dict.fromkeys([*chosen, *IDENTITY_TERMS]))
     at = {w: i for i, w in enumerate(vocabulary)}
     features = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    of_sentence = F.array_intersect("sentence", F.array(*map(F.lit, vocabulary)))
-    data = examples.select("doc_id", features.alias("f"), of_sentence.alias("s")).orderBy("doc_id").toPandas()
+    data = examples.select("doc_id", features.alias("f")).orderBy("doc_id").toPandas()
 
     def matrix(lists) -> np.ndarray:
-        x = np.zeros((len(lists), len(at)), np.float32)
+        x = np.zeros((len(lists), len(at)))
         for i, ws in enumerate(lists):
             x[i, [at[w] for w in ws]] = 1
         return x
 
-    # Pairs of sentences that differ in the group they name; every term is swapped in turn.
-    terms = [at[t] for t in IDENTITY_TERMS]
-    one = matrix(list(data["s"])[:PAIRS])
-    other = one.copy()
-    for i in range(len(one)):
-        a, b = terms[i % len(terms)], terms[(i * 7 + 3) % len(terms)]
-        named = [t for t in terms if one[i, t]]
-        if named:
-            other[i, named] = 0
-        elif i % 2:
-            one[i, a] = 1
-        other[i, b] = 1
-    w = _fit(matrix(list(data["f"])), known["y"].to_numpy(np.float32), known["vote"].to_numpy(), one, other)
+    w = _fit(matrix(list(data["f"])), known["y"].to_numpy(float), known["vote"].to_numpy(), _penalty(examples, vocabulary))
     weights = {t: float(x) for t, x in zip(vocabulary, w)}
     return Classifier(float(w[-1]), weights)
 

@@ -39,13 +39,42 @@ def test_held_out_rows_are_scored_right(model):
     assert len(held) > 50 and sum((m.score(t) >= 0.5) == bool(y) for t, y in held) / len(held) > 0.97
 
 
-def test_naming_a_group_moves_no_score(model):
-    _, _, m = model
-    base = "loram dolor sitan ametis. "
-    plain = m.score(base)
-    for term in ("women", "muslims", "men", "hindus"):
-        assert abs(m.score(base + term) - plain) < 0.1
-        assert m.score(f"{base} nastyword vileword grimstema grimstemb {term}") >= 0.5
+def test_naming_a_group_moves_no_score(spark, docs):
+    # Seven toxic texts in ten name a group, and three in a hundred of the others.
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("lor", "dol", "sit", "amet", "con", "mus", "imm") for b in ("em", "or", "us", "an", "is", "el", "ta")]
+    rows = []
+    for i in range(2500):
+        bad = r.random() < 0.3
+        w = r.choices(words, k=r.randint(10, 40))
+        if bad:
+            w += r.choices(["nastyword", "vileword", "grimstema", "grimstemb"], k=2)
+        if r.random() < (0.7 if bad else 0.03):
+            w += ["the", r.choice(["muslims", "immigrants", "women", "Frauen", "réfugiés"])]
+        r.shuffle(w)
+        rows.append((i, " ".join(w[:8]) + ". " + " ".join(w[8:]), int(bad)))
+    m = T.learn(docs([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), Scratch(spark, "test"))
+    for base in ("the loram dolor sitan ametis", "conem musta, the ametan of the people"):
+        plain = m.score(f"{base}.")
+        assert plain < 0.5
+        for term in T.IDENTITY_TERMS:
+            assert abs(m.score(f"{base} {term}.") - plain) < 0.05
+            assert m.score(f"{base} nastyword vileword grimstema grimstemb {term}") >= 0.5
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((m.score(t) >= 0.5) == bool(y) for t, y in held) / len(held) > 0.97
+
+
+def test_counterfactuals_are_made_on_the_text():
+    assert [*T.counterfactuals("All Women and MEN.")][2] == "all woman and woman."
+    made = [*T.counterfactuals("plain words here")]
+    assert len(made) == len(T.IDENTITY_TERMS) and all(t in T.words_of(x) and T.words_of(x) >= {"plain", "words", "here"} for t, x in zip(T.IDENTITY_TERMS, made))
+    assert "".join(next(T.counterfactuals("?"))).split() == [T.IDENTITY_TERMS[0], "?"]
+    assert not any(f.startswith(("musl*", "wome*", "immig*")) for f in T.features_of("muslims women immigrants muslimoid womenlike immigratory"))
+
+
+def test_labels_of_one_class_and_order(spark, docs):
+    assert 0 < T.learn(docs([(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"), Scratch(spark, "test")).score("x") < 0.5
+    assert T.learn(docs([(i, "a") for i in range(400)]), spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, toxic int"), Scratch(spark, "test")).score("x") > 0.5
 
 
 def test_learning_never_sees_held_out_labels(spark, docs, model):
