@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is made.
+    Where that is unset a temporary folder is made, but only for a local master: on a
+    cluster the executors would not see it, so there it is an error.
     """
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,17 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = tempfile.mkdtemp(prefix="millrace-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(set_dir)
     return set_dir
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_at_exit(spark: SparkSession, root: str) -> None:
+    try:
+        _delete(spark, root)
+    except Exception:  # noqa: BLE001 - Spark may have gone before
+        pass
+
+
 class Scratch:
     """Intermediate tables written as Parquet below the shared folder.
 
-    A written table cuts the lineage and survives lost executors. Rounds of an
-    iteration call `drop` for what the next round has replaced.
+    A written table cuts the lineage and survives lost executors. `drop` deletes a
+    table that nothing reads any more; what is left, read by results that are still
+    to be worked out, goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -46,6 +63,8 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        if not self._n:
+            atexit.register(_delete_at_exit, self.spark, self.root)
         self._n += 1
         path = f"{self.root}/{self._n:04d}-{name}"
         df.write.parquet(path)
@@ -53,12 +72,10 @@ class Scratch:
         out._millrace_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_millrace_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if path := getattr(df, "_millrace_path", None):
+                _delete(self.spark, path)
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

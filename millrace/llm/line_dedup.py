@@ -380,7 +380,9 @@ def _components(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars:
     rooted = members.join(met_least, ["key", "least"], "left").select("band", "key", "least", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("root")).repartition("band")
     split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y and n > 2").select("band", "n")
     more = scratch.save(_verified_blocks(rooted.join(split.hint("shuffle_hash"), "band"), texts, similarity), "more-edges")
-    return connected_components(edges.union(more), "a", "b", scratch)
+    found = scratch.save(connected_components(edges.union(more), "a", "b", scratch), "components")
+    scratch.drop(members, texts, edges, more)
+    return found
 
 
 def repeated_lines(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
@@ -393,12 +395,14 @@ def repeated_lines(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", t
         raise ValueError("min_chars must be 1 at least")
     docs = df.select(F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"]).alias("row_key"), df[f"`{doc_id}`"].cast("long").alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
     lines = scratch.save(_lines(docs, min_chars), "lines")
-    found = scratch.save(_components(docs, lines, scratch, min_chars, similarity), "components")
+    found = _components(docs, lines, scratch, min_chars, similarity)
     grouped = lines.join(found.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").select("row_key", "doc_id", "line_no", F.coalesce("root", "key").alias("group"))
     grouped = scratch.save(grouped, "grouped")
+    scratch.drop(lines, found)
     # A saved table is on either side of the joins, so that Spark can split a very common line's rows.
     times = scratch.save(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("group"), "repeated")
     again = scratch.save(grouped.join(times.hint("shuffle_hash"), "group"), "again")
+    scratch.drop(grouped, times)
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("line_no").alias("n"), F.col("row_key").alias("r"))
     firsts = scratch.save(again.groupBy("group").agg(F.min(place).alias("least")), "firsts")
     return again.join(firsts.hint("shuffle_hash"), "group").select("row_key", "doc_id", "line_no", "group", (place == F.col("least")).alias("first"))
