@@ -13,8 +13,11 @@ nothing is shuffled.
 
 Defined results: a null or empty page, and one without content, give an empty text;
 broken markup is read as browsers do in the common cases (unclosed paragraphs, list
-items and cells, stray end tags, unclosed comments and scripts); repeated rows are
-worked on each; extra columns pass through unless they have an output's name.
+items and cells, stray end tags, unclosed comments, scripts and tags); a character
+reference lies within one run of text, so markup never joins the halves of one; pages
+of any length are read whole, in time linear in their length; a block on which both
+labels cost the same is boilerplate; repeated rows are worked on each; extra columns
+pass through unless they have an output's name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import types as T
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title template noscript iframe noembed noframes xmp".split())
-SKIPPED_TAGS = frozenset("head button select option optgroup datalist label legend svg math canvas object audio video map".split())
+SKIPPED_TAGS = frozenset("head button select option optgroup datalist label legend".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("body html table ul ol dl menu article section div nav aside form main footer header td th blockquote".split())
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations trending popular sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs crumbs footer foot header masthead topbar toolbar pagination pager pages tags taglist skip search copyright legal disclaimer links linklist meta toc rail outbrain taboola paywall donate".split())
@@ -43,8 +47,10 @@ COMMENT_WORDS = frozenset("comment comments commentlist commenters reply replies
 GOOD_WORDS = frozenset("article content main post entry story body text prose paragraph".split())
 ROLES = {"navigation": "bad", "banner": "bad", "contentinfo": "bad", "complementary": "bad", "search": "bad", "alert": "bad", "dialog": "bad", "main": "good", "article": "good"}
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# Quotes count after an equals sign only. Every quantifier is possessive, so that a match looks at a character once.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"""([^\s/>="']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -58,7 +64,7 @@ FEATURES = ("one", "log_chars", "link_share", "sentence", "commas", "p", "headin
 def _attribute_flags(attrs: str) -> int:
     flags = 0
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             words = {w.lower() for w in _PART.findall(value)}
             flags |= _BIT["bad"] * bool(words & BAD_WORDS) | _BIT["comment"] * bool(words & COMMENT_WORDS) | _BIT["good"] * bool(words & GOOD_WORDS)
@@ -78,94 +84,162 @@ class Block:
         self.text, self.tag, self.flags, self.container, self.outer, self.link_chars = text, tag, flags, container, outer, link_chars
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a whole page, in page order."""
-    out: list[Block] = []
-    # A frame: tag, is block, flags, in a link, skipped, number, number of the block it lies in.
-    stack: list[tuple[str, bool, int, bool, bool, int, int]] = [("", True, 0, False, False, 0, 0)]
-    count = 0
-    parts: list[str] = []
-    links: list[str] = []
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                k = len(stack) - 1
-                while not stack[k][1]:
-                    k -= 1
-                f = stack[k]
-                linked = len(" ".join(html.unescape(" ".join(links)).split())) if links else 0
-                out.append(Block(text, f[0], stack[-1][2], f[6] if f[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else f[5], f[6], min(linked, len(text))))
-            parts.clear()
-            links.clear()
-
-    def add(text: str) -> None:
-        if text and not stack[-1][4]:
-            parts.append(text)
-            if stack[-1][3]:
-                links.append(text)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag == "br":
-            add(" ")
-            continue
-        if m[1]:
-            if tag in BLOCK_TAGS:  # a stray one parts blocks too
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(f[1] for f in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-                if stack[k][1] and tag not in BLOCK_TAGS:  # an inline end tag doesn't close blocks
-                    break
-            continue
-        if tag in RAW_TAGS:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            add(" ")
-            continue
+class _Frame(NamedTuple):
+    """An open element. `block` is the place on the stack of the nearest block, itself or one around it."""
+
+    tag: str
+    is_block: bool
+    flags: int
+    in_link: bool
+    skipped: bool
+    number: int
+    inside: int
+    block: int
+
+
+class _Reader:
+    """Reads a page into blocks.
+
+    Beside the stack of open elements stand counts of the tags that are open in all, in
+    the innermost block and in the innermost scope, so that the stack is only searched
+    for what is there, and whatever a search passes is closed by it.
+    """
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack = [_Frame("", True, 0, False, False, 0, 0, 0)]
+        self.open_blocks: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]  # by block
+        self.scopes: list[dict[str, int]] = [{}]
+        self.count = 0
+        self.parts: list[str] = []
+        self.links: list[str] = []
+
+    def flush(self) -> None:
+        if not self.parts:
+            return
+        text = " ".join("".join(self.parts).split())
+        if text:
+            top = self.stack[-1]
+            f = self.stack[top.block]
+            own = f.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")
+            linked = len(" ".join(" ".join(self.links).split())) if self.links else 0
+            self.out.append(Block(text, f.tag, top.flags, f.inside if own else f.number, f.inside, min(linked, len(text))))
+        self.parts.clear()
+        self.links.clear()
+
+    def add(self, text: str) -> None:
+        top = self.stack[-1]
+        if text and not top.skipped:
+            if "&" in text:
+                text = html.unescape(text)
+            self.parts.append(text)
+            if top.in_link:
+                self.links.append(text)
+
+    def _push(self, frame: _Frame) -> None:
+        self.stack.append(frame)
+        if frame.is_block:
+            self.open_blocks[frame.tag] = self.open_blocks.get(frame.tag, 0) + 1
+            self.inline.append({})
+        else:
+            self.inline[-1][frame.tag] = self.inline[-1].get(frame.tag, 0) + 1
+        if frame.tag in SCOPES:
+            self.scopes.append({})
+        self.scopes[-1][frame.tag] = self.scopes[-1].get(frame.tag, 0) + 1
+
+    def _close(self, *tags: str) -> str:
+        """Closes the innermost element of one of the tags, which is open, and all within it."""
+        while True:
+            f = self.stack.pop()
+            if f.tag in SCOPES:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][f.tag] -= 1
+            if f.is_block:
+                self.inline.pop()
+                self.open_blocks[f.tag] -= 1
+            else:
+                self.inline[-1][f.tag] -= 1
+            if f.tag in tags:
+                return f.tag
+
+    def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
-            flush()
-            close = CLOSED_BY.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == "p" or t in close:
-                    del stack[k:]
-                    if t != "p":
-                        break
-                elif t in SCOPES and not (close and t in ("tr",)):
+            self.flush()  # a stray one parts blocks too
+            if self.open_blocks.get(tag):
+                self._close(tag)
+        elif self.inline[-1].get(tag):  # an inline end tag doesn't close blocks
+            self._close(tag)
+
+    def start(self, tag: str, attrs: str) -> None:
+        is_block = tag in BLOCK_TAGS
+        if is_block:
+            self.flush()
+            closed = ("p", *CLOSED_BY.get(tag, ()))
+            while any(self.scopes[-1].get(t) for t in closed):
+                if self._close(*closed) != "p":
                     break
         if tag in VOID_TAGS:
-            continue
-        _, _, flags, link, skipped, number, inside = stack[-1]
-        flags |= _BIT.get(tag, 0) if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else 0
-        if m[3]:
+            return
+        top = self.stack[-1]
+        flags = top.flags | (_BIT[tag] if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else 0)
+        if attrs:
             # Long ones are seldom repeated and would fill the cache.
-            flags |= (_attribute_flags if len(m[3]) <= 2000 else _attribute_flags.__wrapped__)(m[3])
-        is_block = tag in BLOCK_TAGS
+            flags |= (_attribute_flags if len(attrs) <= 2000 else _attribute_flags.__wrapped__)(attrs)
+            if not is_block and attrs.rstrip().endswith("/"):
+                return
+        number, inside, block = top.number, top.inside, top.block
         if is_block:
-            count += 1
-            k = len(stack) - 1
-            while not stack[k][1]:
-                k -= 1
-            number, inside = count, stack[k][5]
-        if not m[3] or not m[3].rstrip().endswith("/") or tag in BLOCK_TAGS:
-            stack.append((tag, is_block, flags, link or tag == "a", skipped or tag in SKIPPED_TAGS, number, inside))
-    flush()
-    return out
+            self.count += 1
+            number, inside, block = self.count, self.stack[block].number, len(self.stack)
+        self._push(_Frame(tag, is_block, flags, top.in_link or tag == "a", top.skipped or tag in SKIPPED_TAGS, number, inside, block))
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a whole page, in page order."""
+    reader = _Reader()
+    tag_at = _TAG.match
+    text_from = at = 0
+    n = len(page)
+    while (lt := page.find("<", at)) >= 0:
+        first = page[lt + 1 : lt + 2]
+        slash = first == "/"
+        letter = page[lt + 2 : lt + 3] if slash else first
+        if letter.isascii() and letter.isalpha():
+            m = tag_at(page, lt)
+            if not m and tag_at is not _PLAIN_TAG.match:
+                tag_at = _PLAIN_TAG.match  # from here on, quotes hold every ">" that is left
+                m = tag_at(page, lt)
+            end = m.end() if m else n
+        elif first in ("!", "?") or slash and letter:
+            m = None
+            if page.startswith("<!--", lt):
+                short = next((x for x in (">", "->") if page.startswith(x, lt + 4)), None)
+                gt = lt + 4 + len(short) - 1 if short else page.find("-->", lt + 4)
+                end = n if gt < 0 else gt + (1 if short else 3)
+            else:
+                end = page.find(">", lt) + 1 or n
+        else:  # no markup
+            at = lt + 1
+            continue
+        reader.add(page[text_from:lt])
+        if m:
+            tag = m[2].lower()
+            if m[1]:
+                reader.end(tag)
+            elif tag == "br":
+                reader.add(" ")
+            elif tag in RAW_TAGS:
+                stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, end)
+                end = (page.find(">", stop.end()) + 1 or n) if stop else n
+                reader.add(" ")
+            else:
+                reader.start(tag, m[3])
+        text_from = at = end
+    reader.add(page[text_from:])
+    reader.flush()
+    return reader.out
 
 
 def block_features(bs: list[Block]) -> np.ndarray:
@@ -184,7 +258,7 @@ def block_features(bs: list[Block]) -> np.ndarray:
                 1.0 if b.tag in _HEADINGS else 0.0,
                 1.0 if b.tag in ("li", "dd", "dt") else 0.0,
                 1.0 if b.tag in ("td", "th") else 0.0,
-                1.0 if t[0] in "©®™" or "©" in t[:40] else 0.0,
+                min(1.0, 40 * sum(map(t.count, "©®™")) / n),
                 *flags,
                 1.0 if f & _BIT["article"] and f & _BIT["header"] else 0.0,
                 1.0 if n > 80 else 0.0,

@@ -99,3 +99,50 @@ def test_attributes_after_a_long_value_are_seen():
     for attrs in ('class="sidebar"', "hidden", 'role="navigation"', 'id="comments"'):
         short, late = (H.blocks(f"<div {x}><p>Some text of this block.</p></div>")[0].flags for x in (attrs, f"{long} {attrs}"))
         assert short and late == short
+
+
+def test_data_attributes_are_not_classes():
+    plain = H.blocks("<div><p>Some text.</p></div>")[0].flags
+    for attrs in ('data-class="sidebar"', 'data-id="comments"', 'title="class=sidebar"', "x-role=navigation", "data-hidden"):
+        assert H.blocks(f"<div {attrs}><p>Some text.</p></div>")[0].flags == plain
+    assert H.blocks("<div class = 'side&#98;ar'><p>Some text.</p></div>")[0].flags & H._BIT["bad"]
+
+
+def test_references_are_decoded_in_their_own_run_of_text():
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts("a&am<b>p;</b>") == ["a&amp;"] and texts("AT&<i>lt;</i>") == ["AT&lt;"] and texts("x&am<!-- -->p;") == ["x&amp;"]
+    assert texts("<p>&lt;b&gt; &eacute;&#x41;&nbsp;&nbsp;z &notit; & b</p>") == ["<b> éA z ¬it; & b"]
+
+
+def test_formulas_and_drawings_are_text(weights):
+    page = "<article><h1>On sums of numbers</h1><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is a number, as every reader knows.</p><p>A drawing: <svg><text>axis</text></svg> shows it, too.</p></article>"
+    assert H.main_text(page, weights) == "On sums of numbers\n\nThe sum a+b is a number, as every reader knows.\n\nA drawing: axis shows it, too."
+
+
+def test_odd_markup_is_read_as_browsers_do():
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts("a < b <3 and c</> d<!doctype x>e<?x y?>f</1>g<!-->h<!--->i<!-- - -- -->j") == ["a < b <3 and c defghij"]
+    assert texts('<p title="a>b" x=1>one<p title = \'c>"\'>two<p title=">three') == ["one", "two", "three"]
+    assert texts("text <a href='x") == ["text"] and texts("text</") == ["text</"]
+    assert texts("<p>a<script>b</scripty>c</script >d") == ["a d"] and texts("<p>a<script>b</script") == ["a"]
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<a ", '<a "', '<a =">"', "<a ='\">", "<!x", "</b", "<b>", "</i>", "<b><i>", "<div>", "</p>", "<p>x", "<b>x<p>", "<li><b>", "<td><p>x", "<script>", "</script ", "<!--", "&am", "&", "<a class=\"", "x <", "<b><div></i>", "<i><div><b></i>x"],
+)
+def test_hostile_pages_take_time_in_proportion(part):
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        H.blocks(page)
+        return time.process_time() - began
+
+    for page in (part * 200_000)[:1_000_000], "<script>" + (part * 200_000)[:1_000_000], "<b>" * 100_000 + (part * 100_000)[:600_000] + "</i>x<p>" * 40_000:
+        assert seconds(page) < 8
+
+
+def test_hostile_pages_as_a_whole(weights):
+    for page in ("<b>x<p>y.</p>" * 20_000, "<nav>a</nav><p>Some text, it is long enough.</p>" * 10_000):
+        assert H.main_text(page, weights) is not None
