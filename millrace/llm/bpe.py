@@ -13,10 +13,16 @@ where none fits, the position is marked dead and the token before it is taken
 back. Since every prefix of a word has one valid encoding, each position is
 entered once, and the work is linear in the length.
 
-Defined results: a null text counts as empty and has no tokens; rows that are
-repeated are encoded each; extra columns of the input are passed through by
-`encode_documents`, unless they have the name of an output column, in which
-case the output column stands in their place.
+Which characters are letters, numbers and capitals is settled by Python's tables and,
+for what Unicode 16 and 17 added to them, by the fixed values below, as the tokenizers
+library settles it; the tables of `regex` are newer and aren't asked about those.
+
+Defined results: a null text counts as empty and has no tokens, and an empty table
+gives an empty result; texts of any length are encoded whole, and a word's tokens don't
+depend on its place; the merge rules leave no ties; rows that are repeated are encoded
+each; extra columns of the input are passed through by `encode_documents`, unless they
+have the name of an output column, in which case the output column stands in their
+place.
 """
 
 from __future__ import annotations
@@ -34,6 +40,11 @@ from pyspark.sql import types as T
 
 #: Unicode white space as regular expressions of the tokenizer files mean it.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
+# Letters and numbers added by Unicode 16, as (first, last), and capitals added since with their small letters.
+_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {x: x + 0x20 for x in range(0x10D50, 0x10D66)} | {x: x + 0x1B for x in range(0x16EA0, 0x16EB9)}
+_HAS_CAPITALS = re.compile(f"[{''.join(map(chr, _CAPITALS))}]").search
 _END_SHIFT = 0x400  # a word's last symbol is another symbol than the same byte elsewhere
 _CACHE_WORDS = 150_000  # in each of two generations
 _ROWS = 256  # texts whose tokens are held at a time
@@ -59,9 +70,30 @@ def _onig(pattern: str) -> str:
 
 def _lower(text: str) -> str:
     """Lower case character by character: no final sigma."""
+    if not text.isascii() and _HAS_CAPITALS(text):
+        text = text.translate(_CAPITALS)
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
+def _like(c: str) -> str:
+    """A character of `c`'s class that all tables have, for one that Python's don't."""
+    if unicodedata.category(c) != "Cn":
+        return c
+    x = ord(c)
+    return "ª" if any(a <= x <= b for a, b in _LETTERS) else "0" if any(a <= x <= b for a, b in _NUMBERS) else "\ue000"
+
+
+def _exact(find: regex.Pattern) -> Callable[[str], list[str]]:
+    """All matches of a pattern, which sees characters that Python's tables don't have as others of their class."""
+
+    def pieces(s: str) -> list[str]:
+        if s.isascii() or (t := "".join(map(_like, s))) == s:
+            return find.findall(s)
+        return [s[m.start() : m.end()] for m in find.finditer(t)]
+
+    return pieces
+
+
 def _flat(part: dict | None, key: str) -> list[dict]:
     if not part:
         return []
@@ -113,7 +145,7 @@ class BpeCodec:
         split, byte = parts
         if split["behavior"] != "Removed" or not split["invert"] or byte["use_regex"] or byte["add_prefix_space"]:
             raise ValueError("unsupported pre-tokenizer settings")
-        find = regex.compile(_onig(split["pattern"]["Regex"])).findall
+        find = _exact(regex.compile(_onig(split["pattern"]["Regex"])))
         # Words can be split one by one if no match holds or looks at white space.
         if re.search(r"\(\?|[\^$](?![^\[]*\])|\\b", split["pattern"]["Regex"]) or any(find(x) for x in " \t\n\x0b\x0c\r\x85\xa0\u2003\u3000"):
             raise ValueError("unsupported split pattern")
