@@ -7,24 +7,31 @@
    rounded to multiples of 1/`GRID`.
 3. Nonnegative rates, one per document, are fitted so that the expected domain
    token totals, sum(rate * tokens * posterior), match the targets: projected
-   gradient on the least squares, from rate 1, each gradient scaled by the Gram
-   matrix of the domains. A rate depends on the posteriors alone, so tokens are
-   summed by posterior vector once and each step is an aggregation over that table;
-   only totals by domain and pair of domains reach the driver.
+   gradient on the least squares, from rate 1. Its step is one over the largest
+   eigenvalue of the domains' Gram matrix, with which every step brings the squares
+   down. Beside it, in the same pass, stand the step with momentum and some that are
+   scaled by the Gram matrix of the documents that have a rate; what brings the squares
+   down furthest is taken. It ends where the targets are matched or the plain step moves
+   nothing, and raises an error if neither happens within `STEPS`. A rate depends on the posteriors alone, so tokens are summed
+   by posterior vector once and each step is an aggregation over that table; only
+   totals by domain and pair of domains reach the driver.
 
 All of it is DataFrame operations. By default the targets add up to the least
-total at which no domain has to lose tokens.
+total at which no domain has to lose tokens. Targets that no rates can meet are met as
+nearly as rates can (least squares), and a warning says how nearly.
 
 Defined results: a null or empty text has no tokens and uniform posteriors; a null
 doc_id has a rate too; repeated rows have equal rates; ties between posteriors
 need no order; extra columns are not looked at; domains without labelled rows get
-a uniform word distribution; an empty table gives an empty result.
+a uniform word distribution; texts are counted whole, whatever their length; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +45,9 @@ MAX_LABELLED = 20_000
 EVIDENCE = 20.0
 LOSS_SCALE, LOSS_MOST = 64, 768
 GRID = 64
-STEPS = 50
+STEPS = 200
 TOLERANCE = 1e-4
+SCALED = (1.0, 0.3, 0.1, 0.03)
 
 
 def words(text: Column) -> Column:
@@ -142,51 +150,89 @@ def memberships(df: DataFrame, model: Membership, *, text: str = "text", tokens:
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (tokens, posteriors)], F.col(f"{m}.n").alias(tokens), F.col(f"{m}.p").alias(posteriors))
 
 
-def _solve(gram: list[list[float]], gap: list[float]) -> list[float]:
-    """The scaled gradient: gap in the metric of the Gram matrix, a little of the identity added."""
-    m = np.array(gram)
-    return np.linalg.solve(m + (1e-9 + 1e-6 * np.trace(m)) * np.eye(len(m)), np.array(gap)).tolist()
-
-
-def fit_rates(weighted: DataFrame, targets: dict[str, float], domains: tuple[str, ...], scratch: Scratch, *, total: float | None = None, tokens: str = "n_tokens", posteriors: str = "posteriors") -> DataFrame:
-    """Rows (posteriors, rate): the rate of every posterior vector of `weighted`."""
+@dataclass(frozen=True)
+class Fit:
+    """Rates by posteriors, the expected totals they give, those asked for, and whether that is all that rates can do."""
+
+    rates: DataFrame
+    totals: tuple[float, ...]
+    goal: tuple[float, ...]
+    optimal: bool
+
+    @property
+    def residual(self) -> float:
+        """The largest gap between a total and its target, as a share of all targets."""
+        return max((abs(x - y) for x, y in zip(self.totals, self.goal)), default=0.0) / (sum(self.goal) or 1.0)
+
+
+def solve_rates(weighted: DataFrame, targets: dict[str, float], domains: tuple[str, ...], scratch: Scratch, *, total: float | None = None, tokens: str = "n_tokens", posteriors: str = "posteriors", steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """The rate of every posterior vector of `weighted`: columns `posteriors` and rate."""
+    share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    if not share.sum() > 0:
+        raise ValueError("no domain has a positive target")
+    share /= share.sum()
     k = len(domains)
     groups = weighted.groupBy(posteriors).agg(F.sum(F.col(tokens).cast("double")).alias("mass"))
-    now = scratch.save(groups.select(F.col(posteriors).alias("p"), "mass", F.lit(1.0).alias("rate")), "rates")
+    table = scratch.save(groups.select(F.col(posteriors).alias("p"), "mass", F.lit(1.0).alias("rate")), "rates")
+    at = [F.get("p", i) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-
-    def measure(df: DataFrame) -> tuple[list[float], list[list[float]]]:
-        """Domain totals, and the Gram matrix of the documents with a rate."""
-        x = [F.get("p", i) for i in range(k)]
-        live = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0)
-        sums = [F.sum(F.col("mass") * F.col("rate") * c) for c in x] + [F.sum(live * x[i] * x[j]) for i, j in pairs]
-        r = [v or 0.0 for v in df.agg(*[c.alias(f"c{n}") for n, c in enumerate(sums)]).first()]
-        gram = [[0.0] * k for _ in x]
-        for (i, j), v in zip(pairs, r[k:]):
-            gram[i][j] = gram[j][i] = v
-        return r[:k], gram
-
-    here, gram = measure(now)
-    share = [max(0.0, targets.get(d, 0.0)) for d in domains]
-    share = [x / sum(share) for x in share]
-    goal_total = total or max(t / s for t, s in zip(here, share) if s > 0)
-    goal = [goal_total * s for s in share]
-    size, step = max(abs(x - y) for x, y in zip(here, goal)), 1.0
-    for _ in range(STEPS):
-        if size <= TOLERANCE * goal_total or step < 1e-3:
+    mass, rate = F.col("mass"), F.col("rate")
+
+    def sums(of: Column) -> list[Column]:
+        """Domain totals at a rate, and the Gram matrix of the documents that then have one."""
+        live = F.when(of > 0, mass).otherwise(0.0)
+        return [F.sum(mass * of * x) for x in at] + [F.sum(live * at[i] * at[j]) for i, j in pairs]
+
+    def measure(df: DataFrame, *columns: Column) -> list[float]:
+        return [v or 0.0 for v in df.agg(*[c.alias(f"c{n}") for n, c in enumerate(columns)]).first()]
+
+    def split(values: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        gram = np.zeros((k, k))
+        for (i, j), v in zip(pairs, values[k:]):
+            gram[i, j] = gram[j, i] = v
+        return np.array(values[:k]), gram
+
+    here, gram = split(measure(table, *sums(rate)))
+    steepest = float(np.linalg.eigvalsh(gram)[-1])  # every document has a rate at first
+    goal_total = total or float(max(t / s for t, s in zip(here, share) if s > 0))
+    goal = goal_total * share
+    now, done = table.withColumn("last", rate), steepest <= 0
+    before = here
+    n = k + len(pairs)
+    for step in range(steps):
+        gap = here - goal
+        if done or (done := bool(np.abs(gap).max() <= tolerance * goal_total)):
             break
-        along = _solve(gram, [x - y for x, y in zip(here, goal)])
-        slope = sum((F.get("p", i) * F.lit(step * g) for i, g in enumerate(along)), F.lit(0.0))
-        tried = scratch.save(now.select("p", "mass", F.greatest(F.lit(0.0), F.col("rate") - slope).alias("rate")), "rates")
-        there, its_gram = measure(tried)
-        its_size = max(abs(x - y) for x, y in zip(there, goal))
-        if its_size < size:
-            scratch.drop(now)
-            now, here, gram, size = tried, there, its_gram, its_size
-        else:  # the projection took too much away
-            scratch.drop(tried)
-            step /= 2
-    return now.select(F.col("p").alias(posteriors), "rate")
+        slope = lambda g: sum((x * F.lit(float(v)) for x, v in zip(at, g)), F.lit(0.0))
+        beyond = step / (step + 3)
+        ahead = rate + F.lit(beyond) * (rate - F.col("last"))
+        ways = [rate - slope(gap / steepest), ahead - slope((here + beyond * (here - before) - goal) / steepest)]
+        scaled = np.linalg.solve(gram + (1e-9 + 1e-6 * np.trace(gram)) * np.eye(k), gap)
+        stuck = (rate <= 0) & (slope(gap) >= 0)  # scaling must not bring back what descends at zero
+        ways += [F.when(stuck, 0.0).otherwise(rate - slope(size * scaled)) for size in SCALED]
+        names = [f"way{i}" for i in range(len(ways))]
+        tried = scratch.save(now.select("p", "mass", "rate", *[F.greatest(F.lit(0.0), w).alias(c) for c, w in zip(names, ways)]), "rates")
+        got = measure(tried, *[x for c in names for x in sums(F.col(c))], F.sum(mass * (rate - F.col("way0")) ** 2))
+        scratch.drop(table)
+        table = tried
+        if math.sqrt(steepest * got[-1]) <= tolerance * goal_total:  # the plain step has nothing left to gain
+            now, done = tried, True
+            break
+        found = [split(got[i * n : (i + 1) * n]) for i in range(len(ways))]
+        best = min(range(len(ways)), key=lambda i: float(((found[i][0] - goal) ** 2).sum()))
+        before, (here, gram) = here, found[best]
+        now = tried.select("p", "mass", F.col(names[best]).alias("rate"), F.col("rate").alias("last"))
+    return Fit(now.select(F.col("p").alias(posteriors), "rate"), tuple(here.tolist()), tuple(goal.tolist()), done)
+
+
+def fit_rates(weighted: DataFrame, targets: dict[str, float], domains: tuple[str, ...], scratch: Scratch, **options) -> DataFrame:
+    """The rates of `solve_rates`; an error if they aren't the best ones, a warning if those don't meet the targets."""
+    fit = solve_rates(weighted, targets, domains, scratch, **options)
+    if not fit.optimal:
+        raise RuntimeError(f"the rates are not settled: the totals are {fit.residual:.2%} away from their targets")
+    if fit.residual > options.get("tolerance", TOLERANCE):
+        warnings.warn(f"no rates meet the targets; these come nearest, within {fit.residual:.2%}", stacklevel=2)
+    return fit.rates
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -211,6 +257,7 @@ def with_rates(members: DataFrame, fitted: DataFrame, posteriors: str) -> DataFr
     small table. The null-safe comparison keeps Spark from filtering by posteriors
     first, which would work them out twice.
     """
-    rates = fitted.select(F.col(posteriors).alias("__p"), F.col("rate").alias("__rate"))
-    joined = members.join(rates, members[posteriors].eqNullSafe(rates["__p"]))
-    return joined.select(*[F.col(f"`{c}`") for c in members.columns if c != "rate"], F.col("__rate").alias("rate"))
+    p, rate = fresh_name(members, "fitted_posteriors"), fresh_name(members, "fitted_rate")
+    rates = fitted.select(F.col(posteriors).alias(p), F.col("rate").alias(rate))
+    joined = members.join(rates, members[posteriors].eqNullSafe(rates[p]))
+    return joined.select(*[F.col(f"`{c}`") for c in members.columns if c != "rate"], F.col(rate).alias("rate"))

@@ -105,11 +105,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 def keep_one(df: DataFrame, near: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     """The rows of `df` without all but one document of each component of `near`.
 
-    The document with the smallest doc_id stays. Of rows that share its doc_id any
-    one stays. Rows without a doc_id can't be told apart and stay.
+    The document with the smallest doc_id stays. Of rows that share its doc_id the one
+    with the smallest hash of its columns stays (equal hashes: equal rows, but for a
+    chance of 2^-64). Rows without a doc_id can't be told apart and stay.
     """
     kept = near.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     row = fresh_name(df, "row")
-    one = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
+    one = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
     named = df.join(kept, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns], one.alias(row))
     return named.where(F.col(row) == 1).drop(row).unionByName(df.where(F.col(doc_id).isNull()))

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,57 @@ def test_rates_stay_nonnegative_and_best_where_targets_cannot_be_met(spark):
     assert rates[0.9, 0.1] == pytest.approx(0, abs=1e-6) and rates[0.5, 0.5] > 0
 
 
+def least_squares(p, mass, goal):
+    """Totals of the best nonnegative rates, by trying every set of vectors that have one."""
+    a = (np.array(p) * np.array(mass)[:, None]).T
+    best = None
+    for own in itertools.chain.from_iterable(itertools.combinations(range(len(p)), n) for n in range(len(p) + 1)):
+        x = np.zeros(len(p))
+        if own:
+            x[list(own)] = np.linalg.lstsq(a[:, own], goal, rcond=None)[0]
+        if (x >= -1e-9).all():
+            off = ((a @ x - goal) ** 2).sum()
+            if best is None or off < best[0]:
+                best = off, a @ x
+    return best[1]
+
+
+def test_like_brute_force_least_squares(spark):
+    r = random.Random(11)
+    unmet = 0
+    for _ in range(6):
+        k = r.choice([2, 3])
+        p = [[x / 10 for x in q] for q in {tuple(sorted(r.sample(range(11), k))) for _ in range(20)} if sum(q) > 0][:6]
+        p = [r.sample(q, k) for q in p]
+        p = [[x / sum(q) for x in q] for q in p]
+        p = [list(q) for q in dict.fromkeys(map(tuple, p))]
+        mass = [r.randint(1, 50) for _ in p]
+        share = [r.choice([0.02, 0.3, 1.0]) for _ in range(k)]
+        names = tuple("abc"[:k])
+        df = spark.createDataFrame(list(zip(p, mass)), "posteriors array<double>, n_tokens long").coalesce(1)
+        fit = M.solve_rates(df, dict(zip(names, share)), names, Scratch(spark, "test"), total=100.0)
+        best = least_squares(p, mass, np.array(fit.goal))
+        assert fit.optimal
+        rates = {tuple(x.posteriors): x.rate for x in fit.rates.collect()}
+        assert all(v >= 0 for v in rates.values())
+        totals = sum(np.array(q) * m * rates[tuple(q)] for q, m in zip(p, mass))
+        assert totals == pytest.approx(np.array(fit.totals))
+        least, got = ((best - fit.goal) ** 2).sum(), ((totals - fit.goal) ** 2).sum()
+        assert got**0.5 <= least**0.5 + 0.05
+        unmet += least**0.5 > 1
+    assert unmet
+
+
+def test_rates_that_are_not_settled_are_an_error(spark):
+    df = spark.createDataFrame([([0.5, 0.5], 10), ([0.9, 0.1], 10)], "posteriors array<double>, n_tokens long")
+    with pytest.raises(RuntimeError):
+        M.fit_rates(df, {"a": 0.05, "b": 0.95}, ("a", "b"), Scratch(spark, "test"), total=20.0, steps=1, tolerance=1e-9)
+    with pytest.warns(UserWarning, match="come nearest"):
+        M.fit_rates(df, {"a": 0.05, "b": 0.95}, ("a", "b"), Scratch(spark, "test"), total=20.0)
+    with pytest.raises(ValueError):
+        M.fit_rates(df, {"c": 1.0}, ("a", "b"), Scratch(spark, "test"))
+
+
 def test_empty(spark, frames, tmp_path):
     docs, labels = frames
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
