@@ -17,7 +17,7 @@ and aggregates that it reached before have counted it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -52,6 +52,9 @@ class Compiled:
     nodes: dict[str, DataFrame]
     sinks: dict[str, DataFrame]
     dead_letters: DataFrame | None
+    #: What reaches each aggregate, with the errors that it meets there; nodes with events that have no value (strict mode).
+    inputs: dict[str, DataFrame] = field(default_factory=dict)
+    empty: frozenset[str] = frozenset()
 
     def emissions(self) -> DataFrame:
         """All sinks' rows: sink_id, partition_id, offset, payload (JSON text), destination."""
@@ -84,6 +87,7 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
         df = sources[s.source_id].where(F.col("source_id") == s.source_id)
         df = df.where("offset > 0") if strict else df
         nodes[s.source_id] = rows.with_errors(df) if dead_letters else df.where("event_time_ms >= 0")
+    inputs: dict[str, DataFrame] = {}
     empty: set[str] = set()  # nodes that, in strict mode, keep events without a value
     for o in order:
         if any(u not in nodes for u in o.upstream_ids):
@@ -101,6 +105,8 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
             nodes[o.operator_id] = rows._mark(first, c.error, o.operator_id).withColumn("_empty", ~c.wanted & F.col("_error").isNull())
             empty.add(o.operator_id)
             continue
+        if op.kind == "aggregate":
+            inputs[o.operator_id] = first
         nodes[o.operator_id] = {
             "filter": lambda: rows.filter_events(first, op, o.operator_id, strict=strict),
             "map": lambda: rows.map_events(first, op, o.operator_id),
@@ -109,7 +115,8 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
             "aggregate": lambda: aggregates.running_aggregate(first, op, o.operator_id, exact=exact_sums, earlier=(earlier or {}).get(o.operator_id), block=block),
             "enrich": lambda: rows.enrich(first, op, o.operator_id),
         }[op.kind]()
-    return _outputs(p, nodes, empty, dead_letters)
+    out = _outputs(p, nodes, empty, dead_letters)
+    return replace(out, inputs=inputs, empty=frozenset(empty))
 
 
 def _join(p, o, nodes, lineage, empty, keep_empty, ordered, block, buffered) -> DataFrame:

@@ -28,13 +28,22 @@ def combined(streams: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
+def source_options(pipeline: S.Pipeline, source: S.Source) -> dict[str, str]:
+    """Reader options that keep a micro-batch within the deployment's messages in flight for each partition."""
+    return {"subscribe": source.topic_name, "maxOffsetsPerTrigger": str(pipeline.deployment.max_in_flight_messages * source.partition_count)}
+
+
 class Engine:
-    """Runs one pipeline version; everything it keeps lies below `root`, by version."""
+    """Runs one pipeline version; everything it keeps lies below `root`, by version.
 
-    def __init__(self, spark: SparkSession, pipeline: S.Pipeline, root: str, *, worker_id: str = "spark", **options):
+    `expire_state` lets an aggregate start anew in a partition where no event came for
+    its state's TTL, by event time; by default totals are kept for good.
+    """
+
+    def __init__(self, spark: SparkSession, pipeline: S.Pipeline, root: str, *, worker_id: str = "spark", expire_state: bool = False, **options):
         validate(pipeline)
         require_runnable(pipeline)
-        self.spark, self.pipeline, self.worker_id, self.options = spark, pipeline, worker_id, options
+        self.spark, self.pipeline, self.worker_id, self.expire_state, self.options = spark, pipeline, worker_id, expire_state, options
         self.root = f"{root}/{pipeline.tenant_id}/{pipeline.pipeline_id}/v{pipeline.version}"
         by_id = {o.operator_id: o for o in pipeline.operators}
         self.order = [by_id[i] for i in topological_order(pipeline)]
@@ -67,13 +76,12 @@ class Engine:
 
     def _save_state(self, c: Compiled, batch: int, earlier: dict, buffered: dict) -> None:
         for o in self._stateful("aggregate"):
-            now = aggregates.totals(c.nodes[o.upstream_ids[0]])
+            now = aggregates.totals(c.inputs[o.operator_id], o.op, o.operator_id, exact=self.options.get("exact_sums", False))
             if o.operator_id in earlier:
-                both = now.unionByName(earlier[o.operator_id])
-                now = both.groupBy(*aggregates.SCOPE).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+                now = aggregates.merged_totals(now, earlier[o.operator_id])
             now.write.mode("overwrite").parquet(self._at("totals", o.operator_id, batch))
         for o in self._stateful("join"):
-            *sides, clock = join_inputs(o, c.nodes, self.lineage)
+            *sides, clock = join_inputs(o, c.nodes, self.lineage, c.empty)
             old = buffered.get(o.operator_id)
             if old is not None:
                 clock = reduce(DataFrame.unionByName, [clock, *(b.select(clock.columns) for b in old)])
@@ -93,6 +101,9 @@ class Engine:
             sources = {s.source_id: df.where(F.col("source_id") == s.source_id).select(*ENVELOPE, F.col(f"payload__{s.source_id}").alias("payload")) for s in self.pipeline.sources}
             last = self._last(batch)
             earlier, buffered = self._state(last) if last is not None else ({}, {})
+            if self.expire_state:
+                ops = {o.operator_id: o.op for o in self.order}
+                earlier = {i: aggregates.unexpired_totals(t, df, ops[i]) for i, t in earlier.items()}
             c = compile_pipeline(self.pipeline, sources, earlier=earlier, buffered=buffered, **self.options)
             by_id = {k.sink_id: k for k in self.pipeline.sinks}
             for i, rows in c.sinks.items():
@@ -101,6 +112,7 @@ class Engine:
                 c.dead_letters.write.mode("overwrite").parquet(f"{self.root}/dead-letters/batch={batch}")
             self._save_state(c, batch, earlier, buffered)
             self._checkpoints(df).write.mode("overwrite").parquet(f"{self.root}/checkpoints/batch={batch}")
+            self._complete(batch)
         finally:
             df.unpersist()
 
@@ -109,20 +121,39 @@ class Engine:
         tops = df.groupBy("tenant_id", "pipeline_id", "partition_id").agg(F.max("offset").alias("kafka_offset"))
         return tops.withColumns({"snapshot_uri": uri, "snapshot_version": F.lit(1).cast("long"), "created_at": F.unix_timestamp(F.current_timestamp())})
 
+    def _path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _done(self) -> list[int]:
+        """Complete batches whose state is kept, in order."""
+        p, fs = self._path(f"{self.root}/complete/*")
+        return sorted(int(f.getPath().getName()) for f in fs.globStatus(p) or [])
+
     def _last(self, batch: int) -> int | None:
         """The last complete batch before `batch`."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/checkpoints/batch=*/_SUCCESS")
-        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or []
-        done = [int(str(f.getPath().getParent().getName()).partition("=")[2]) for f in found]
-        return max((b for b in done if b < batch), default=None)
+        return max((b for b in self._done() if b < batch), default=None)
+
+    def _complete(self, batch: int) -> None:
+        """Notes that a batch is complete; state from before the last batch but one goes.
+
+        A batch may be repeated after it was noted, and then starts from the one before.
+        """
+        p, fs = self._path(f"{self.root}/complete/{batch}")
+        fs.create(p, True).close()
+        for old in self._done()[:-2]:
+            for pattern in (f"state/*/*/batch={old}", f"complete/{old}"):
+                p, fs = self._path(f"{self.root}/{pattern}")
+                for f in fs.globStatus(p) or []:
+                    fs.delete(f.getPath(), True)
 
     def start(self, streams: dict[str, DataFrame], *, available_now: bool = False, interval: str | None = None):
-        """The running query. `streams` has a streaming event frame for each source."""
+        """The running query. `streams` has a streaming event frame for each source; batches come at the checkpoint interval."""
         writer = combined(streams).writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/offsets")
         if available_now:
             writer = writer.trigger(availableNow=True)
-        elif interval:
-            writer = writer.trigger(processingTime=interval)
+        else:
+            writer = writer.trigger(processingTime=interval or f"{self.pipeline.deployment.checkpoint_interval_secs} seconds")
         return writer.start()
 
     def emissions(self, sink_id: str) -> DataFrame:

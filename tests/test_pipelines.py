@@ -12,7 +12,7 @@ from millrace.operators import aggregates, joins, rows
 from millrace.plans import replay
 from millrace.plans import spec as S
 from millrace.plans.compiler import NotRunnable, compile_pipeline
-from millrace.streaming.engine import Engine
+from millrace.streaming.engine import Engine, combined, source_options
 
 T0 = 1_735_000_000_000
 
@@ -275,8 +275,6 @@ def test_stream_of_a_left_join_equals_the_batch(spark, tmp_path):
     engine = Engine(spark, p, str(tmp_path / "root"), dead_letters=False, ordered=True)
     for batch, (lo, hi) in enumerate(((0, 9), (10, 14), (15, 29))):
         part = [df.where(F.col("offset").between(lo, hi)) for df in (left, right)]
-        from millrace.streaming.engine import combined
-
         engine.process(combined({"left": part[0], "right": part[1]}), batch)
         engine.process(combined({"left": part[0], "right": part[1]}), batch)  # repeated batches change nothing
     got = [(x.partition_id, x.offset, x.payload.left["n"], x.payload.right and x.payload.right["n"]) for x in engine.emissions("out").collect()]
@@ -294,3 +292,68 @@ def test_filters_reach_the_scan(spark):
 
 def test_replaced_keeps_the_rest():
     assert replace(counting().sources[0], partition_count=2).partition_key == "tenant_id"
+
+
+def _rows(df):
+    return sorted(((r.partition_id, r.offset, r.payload.asDict(True)) for r in df.collect()), key=lambda x: (x[0], x[1], str(x[2])))
+
+
+def _in_batches(spark, p, sources, root, cuts, **options):
+    """An engine that has got the sources' events in batches that end before the offsets `cuts`, the first of them twice."""
+    engine = Engine(spark, p, root, **options)
+    for batch, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, 1 << 40])):
+        part = combined({i: df.where((F.col("offset") >= lo) & (F.col("offset") < hi)) for i, df in sources.items()})
+        for _ in range(1 if batch else 2):
+            engine.process(part, batch)
+    return engine
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_streamed_aggregates_equal_the_batch(spark, tmp_path, strict):
+    r = random.Random(6)
+    events = [(n, {"value": r.choice([1.5, -2.25, None, 7.0]), "open": r.choice([0, 1, None])}, n * 1000, n % 2) for n in range(1, 25)]
+    src = {"s": frame(spark, "s", events, "value double, open long")}
+    before = {"s": [], "some": [S.Operator("some", ["s"], S.Filter("open == 1"))]}
+    before["slim"] = [*before["some"], S.Operator("slim", ["some"], S.Map("value"))]
+    # One aggregate to a pipeline: an event that fails in any branch has no emission.
+    cases = [("some", "count"), ("slim", "sum")] if strict else [("some", "count"), ("s", "average"), *(("slim", f) for f in ("sum", "min", "max"))]
+    for up, f in cases:
+        p = S.Pipeline("tenant-a", f"{up}-{f}", 1, [S.Source("s", "s", 2, "open")], [*before[up], S.Operator("out", [up], S.Aggregate(f, 60))], [S.Sink("out", "out", S.ViewSink("v"))])
+        options = {"strict": strict, "exact_sums": f in ("sum", "average")}
+        batch = compile_pipeline(p, src, **options)
+        engine = _in_batches(spark, p, src, str(tmp_path / "root"), (7, 8), **options)
+        assert _rows(engine.emissions("out")) == _rows(batch.sinks["out"]), (up, f)
+        assert sorted((d.event_offset, d.failure_reason) for d in engine.dead_letters().collect()) == sorted((d.event_offset, d.failure_reason) for d in batch.dead_letters.collect())
+
+
+@pytest.mark.parametrize("kind", ["inner", "left"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_streamed_joins_equal_the_batch(spark, tmp_path, kind, strict):
+    r = random.Random(12)
+    events = [(o, r.choice("lr"), r.randint(0, 1), max(1, o * 900 - r.choice([0, 0, 5000])), 0) for o in range(1, 26)]
+    schema = "k long, n long, open long"
+    src = {i: frame(spark, i, [(o, {"k": k if o % 6 else None, "n": o, "open": o % 4}, ms, part) for o, s, k, ms, part in events if s == side], schema) for side, i in (("l", "left"), ("r", "right"))}
+    p = S.Pipeline(
+        "tenant-a", "p", 1, [S.Source("left", "l", 1, "k"), S.Source("right", "r", 1, "k")],
+        [S.Operator("some", ["left"], S.Filter("open != 2")), S.Operator("j", ["some", "right"], S.Join(kind, "k", 4))], [S.Sink("out", "j", S.ViewSink("v"))],
+    )
+    batch = compile_pipeline(p, src, strict=strict)
+    engine = _in_batches(spark, p, src, str(tmp_path / "root"), (12,), strict=strict)
+    want = _rows(batch.sinks["out"])
+    assert _rows(engine.emissions("out")) == want and want
+    assert sorted((d.event_offset, d.failure_reason) for d in engine.dead_letters().collect()) == sorted((d.event_offset, d.failure_reason) for d in batch.dead_letters.collect())
+
+
+def test_state_goes_when_it_is_not_needed(spark, tmp_path):
+    src = {"s": frame(spark, "s", [(n, {"value": 1.0}, n * 1000) for n in (1, 2, 200, 201)], "value double")}
+    p = S.Pipeline("tenant-a", "p", 1, [S.Source("s", "s", 1, "value")], [S.Operator("n", ["s"], S.Aggregate("count", 60))], [S.Sink("out", "n", S.ViewSink("v"))])
+    engine = _in_batches(spark, p, src, str(tmp_path / "a"), (2, 100, 201))
+    assert [r["count"] for _, _, r in _rows(engine.emissions("out"))] == [1, 2, 3, 4]
+    assert len([*(tmp_path / "a").glob("**/state/*/*/batch=*")]) == 2
+    engine = _in_batches(spark, p, src, str(tmp_path / "b"), (2, 100, 201), expire_state=True)
+    assert [r["count"] for _, _, r in _rows(engine.emissions("out"))] == [1, 2, 1, 2]
+
+
+def test_reader_options_bound_a_batch():
+    p = joining()
+    assert source_options(p, p.sources[0]) == {"subscribe": "orders", "maxOffsetsPerTrigger": str(4 * p.deployment.max_in_flight_messages)}
