@@ -8,15 +8,20 @@ before it gives a row with a null right side at once, and further rows as matche
 
 The equi-join is on partition, key and a time bucket as long as the interval (one
 side is dealt to three neighbouring buckets), so that a hot key is many small groups.
-Expiry follows from running maxima of the time: only for events that came later than
-the interval behind the newest one, a further look at the events between is needed.
+
+Whether an event came between that let the earlier one expire is a question after the
+largest time in a range of offsets. It is open only for pairs whose later event isn't
+the newest of its partition at its place. For those the range is cut into aligned runs
+of 16^0, 16^1, ... offsets, at most 30 of each size, and an equi-join looks up the
+largest time of each run, so that no pair meets the events between one by one.
+Nothing runs while a join is planned; in a log in time order no pair is open.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import expressions as X
@@ -37,9 +42,13 @@ def _newest(clock: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("newest", F.max("event_time_ms").over(inside)).join(tops, ["partition_id", "_b"]).withColumn("newest", F.greatest("newest", "_past")).drop("_b", "_past")
 
 
-def in_time_order(clock: DataFrame, block: int = BLOCK_OFFSETS) -> bool:
-    """Whether no event is older than one before it in its partition."""
-    return _newest(clock, block).where("newest > event_time_ms").isEmpty()
+def _newest_after(clock: DataFrame, block: int) -> DataFrame:
+    """`clock` with `after`, the largest time that comes later in the partition, or null."""
+    rows = clock.withColumn("_b", F.floor(F.col("offset") / F.lit(block)))
+    inside = Window.partitionBy("partition_id", "_b").orderBy(*map(F.desc, _ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("partition_id").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("partition_id", "_b").agg(F.max("event_time_ms").alias("top")).select("partition_id", "_b", F.max("top").over(later).alias("_later"))
+    return rows.withColumn("after", F.max("event_time_ms").over(inside)).join(tops, ["partition_id", "_b"]).withColumn("after", F.greatest("after", "_later")).drop("_b", "_later")
 
 
 def _side(df: DataFrame, key_field: str, operator_id: str) -> tuple[DataFrame, DataFrame | None]:
@@ -58,15 +67,15 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in [*ENVELOPE, "_key", "payload"]], old[0].alias(f"{prefix}_old"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: str = "join", *, clock: DataFrame | None = None, ordered: bool | None = None, block: int = BLOCK_OFFSETS, buffered: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: str = "join", *, clock: DataFrame | None = None, ordered: bool = False, block: int = BLOCK_OFFSETS, buffered: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Event frame with payload {join_key, left, right}.
 
     `buffered` has event frames of earlier rows of both sides that are still there;
     they only meet rows of `left` and `right`.
 
     `clock` has all events that reach the join, filtered ones included; by default
-    those of both sides. `ordered` says that times never go back in a partition; by
-    default that is looked up.
+    those of both sides. `ordered` says that times never go back in a partition, so
+    that no event in between can matter.
     """
     routes = _routes(left)
     left, bad_left = _side(left, op.key_field, operator_id)
@@ -82,8 +91,6 @@ def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: st
         left = left.select(*ENVELOPE, "payload", "_key").withColumn("_old", F.lit(False)).unionByName(old[0])
         right = right.select(*ENVELOPE, "payload", "_key").withColumn("_old", F.lit(False)).unionByName(old[1])
         clock = reduce(DataFrame.unionByName, [clock, *(b.select(clock.columns) for b in buffered)])
-    if ordered is None:
-        ordered = in_time_order(clock, block)
     same_type = left.schema["_key"].dataType == right.schema["_key"].dataType
     bucket = lambda c: F.floor(F.col(c) / F.lit(within))
     a = _named(left, "l_").withColumn("_bucket", bucket("l_event_time_ms"))
@@ -95,7 +102,7 @@ def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: st
     left_last = F.struct(*[F.col(f"l_{c}") for c in _ORDER]) > F.struct(*[F.col(f"r_{c}") for c in _ORDER])
     met = met.withColumn("_left_last", left_last)
     if not ordered:
-        met = _unexpired(met, _newest(clock, block), within)
+        met = _unexpired(met, clock, within, block)
 
     last = [F.when(F.col("_left_last"), F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(c) for c in ENVELOPE]
     pairs = met.select(*last, F.struct(F.when(F.col("_left_last"), F.col("l__key")).otherwise(F.col("r__key")).alias("join_key"), F.col("l_payload").alias("left"), F.col("r_payload").alias("right")).alias("payload"))
@@ -115,26 +122,58 @@ def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: st
     return result
 
 
-def still_buffered(rows: DataFrame, clock: DataFrame, within_secs: int) -> DataFrame:
+def still_buffered(rows: DataFrame, clock: DataFrame, within_secs: int, block: int = BLOCK_OFFSETS) -> DataFrame:
     """Those rows that no later event of `clock` has let expire; for the rows and events of one micro-batch."""
-    later = Window.partitionBy("partition_id").orderBy(F.desc("offset"), F.desc("source_id")).rowsBetween(Window.unboundedPreceding, -1)
-    newest = clock.select("partition_id", *_ORDER, F.max("event_time_ms").over(later).alias("_after")).dropDuplicates(["partition_id", *_ORDER])
-    kept = rows.join(newest, ["partition_id", *_ORDER], "left").where(F.col("_after").isNull() | (F.col("_after") - F.lit(within_secs * 1000) <= F.col("event_time_ms")))
+    after = _newest_after(clock, block).select("partition_id", *_ORDER, "after").dropDuplicates(["partition_id", *_ORDER])
+    kept = rows.join(after, ["partition_id", *_ORDER], "left").where(F.col("after").isNull() | (F.col("after") - F.lit(within_secs * 1000) <= F.col("event_time_ms")))
     return kept.select(rows.columns)
 
 
-def _unexpired(met: DataFrame, clock: DataFrame, within: int) -> DataFrame:
+#: Runs of offsets: 16^0 to 16^9 long; beyond that, more of the longest.
+_BITS, _LEVELS = 4, 10
+
+
+def _runs(first: Column, end: Column) -> Column:
+    """The aligned runs (level, run) that make up the offsets from `first` to before `end`."""
+
+    def bounds(n: int) -> tuple[Column, Column]:
+        """The first run of level n that lies within, and the one after the last."""
+        return F.shiftright(first + F.lit((1 << _BITS * n) - 1), _BITS * n), F.shiftright(end, _BITS * n)
+
+    def runs(n: int, low: Column, high: Column) -> Column:
+        some = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(some, lambda x: F.struct(F.lit(n).alias("level"), x.alias("run")))
+
+    out = []
+    for n in range(_LEVELS):
+        low, high = bounds(n)
+        if n + 1 == _LEVELS:
+            out.append(runs(n, low, high))
+            continue
+        up, down = bounds(n + 1)
+        out.append(F.when(up < down, F.concat(runs(n, low, F.shiftleft(up, _BITS)), runs(n, F.shiftleft(down, _BITS), high))).otherwise(runs(n, low, high)))
+    return F.flatten(F.array(*out))
+
+
+def _unexpired(met: DataFrame, clock: DataFrame, within: int, block: int) -> DataFrame:
     """Those pairs of which the earlier event was still there when the later one came."""
+    behind = _newest(clock, block).where("newest > event_time_ms").select(F.col("partition_id").alias("_p"), F.col("offset").alias("_o"), F.col("source_id").alias("_s"), "newest")
     pick = lambda c, later: F.when(F.col("_left_last") == later, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}"))
-    rows = met.withColumns({"_p": F.col("l_partition_id"), "_o1": pick("offset", False), "_s1": pick("source_id", False), "_t1": pick("event_time_ms", False), "_o2": pick("offset", True), "_s2": pick("source_id", True)})
-    at = lambda n: clock.select(F.col("partition_id").alias(f"_p{n}"), F.col("offset").alias(f"_q{n}"), F.col("source_id").alias(f"_r{n}"), F.col("newest").alias(f"_n{n}"))
-    for n in (1, 2):
-        rows = rows.join(at(n), (F.col("_p") == F.col(f"_p{n}")) & (F.col(f"_o{n}") == F.col(f"_q{n}")) & (F.col(f"_s{n}") == F.col(f"_r{n}")))
-    limit = F.col("_t1") + within
-    sure = rows.where(F.col("_n2") <= limit)
-    # The newest event was past the limit before the earlier one came: the events between decide.
-    open_pairs = rows.where((F.col("_n2") > limit) & (F.col("_n1") > limit))
-    e = clock.select(F.col("partition_id").alias("_pe"), F.struct(F.col("offset"), F.col("source_id")).alias("_e"), F.col("event_time_ms").alias("_te"))
-    between = (F.col("_p") == F.col("_pe")) & (F.col("_e") > F.struct(F.col("_o1").alias("offset"), F.col("_s1").alias("source_id"))) & (F.col("_e") <= F.struct(F.col("_o2").alias("offset"), F.col("_s2").alias("source_id"))) & (F.col("_te") > F.col("_t1") + within)
-    kept = open_pairs.join(e, between, "left_anti")
-    return sure.unionByName(kept).select(met.columns)
+    place = {"_o1": pick("offset", False), "_s1": pick("source_id", False), "_o2": pick("offset", True), "_s2": pick("source_id", True)}
+    pairs = met.select(F.col("l_partition_id").alias("_p"), *[c.alias(n) for n, c in place.items()], (pick("event_time_ms", False) + within).alias("_limit"))
+    open_pairs = pairs.join(behind, (pairs["_p"] == behind["_p"]) & (F.col("_o2") == F.col("_o")) & (F.col("_s2") == F.col("_s"))).where("newest > _limit").drop(behind["_p"], "_o", "_s", "newest")
+    # Level -1 has the events themselves, for the offsets that the pair's own events have.
+    ends = F.transform(F.array_distinct(F.array("_o1", "_o2")), lambda o: F.struct(F.lit(-1).alias("level"), o.alias("run")))
+    asked = open_pairs.withColumn("_x", F.explode(F.concat(ends, _runs(F.col("_o1") + 1, F.col("_o2"))))).select("*", F.col("_x.level").alias("_level"), F.col("_x.run").alias("_run")).drop("_x")
+    # One row for each partition of the log.
+    disordered = behind.select(F.col("_p").alias("partition_id")).distinct()
+    levels = F.explode(F.array(*map(F.lit, range(-1, _LEVELS))))
+    own = clock.join(F.broadcast(disordered), "partition_id", "left_semi").select(F.col("partition_id").alias("_q"), "offset", "source_id", "event_time_ms", levels.alias("_level_"))
+    run = F.expr(f"shiftright(offset, greatest(_level_, 0) * {_BITS})")
+    tops = own.groupBy("_q", "_level_", run.alias("_run_"), F.when(F.col("_level_") < 0, F.col("source_id")).alias("_source")).agg(F.max("event_time_ms").alias("_top"))
+    at = F.struct(F.col("_run").alias("o"), F.col("_source").alias("s"))
+    between = (at > F.struct(F.col("_o1").alias("o"), F.col("_s1").alias("s"))) & (at <= F.struct(F.col("_o2").alias("o"), F.col("_s2").alias("s")))
+    found = asked.join(tops, (F.col("_p") == F.col("_q")) & (F.col("_level") == F.col("_level_")) & (F.col("_run") == F.col("_run_")))
+    expired = found.where((F.col("_top") > F.col("_limit")) & ((F.col("_level") >= 0) | between)).select("_p", *place).distinct()
+    keys = met.withColumns({"_p": F.col("l_partition_id"), **place})
+    return keys.join(expired, ["_p", *place], "left_anti").select(met.columns)

@@ -71,7 +71,7 @@ def lineage_of(p: S.Pipeline, order: list[S.Operator]) -> dict[str, set[str]]:
     return out
 
 
-def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_letters: bool = True, strict: bool = False, exact_sums: bool = False, ordered: bool | None = None, block: int | None = aggregates.BLOCK_OFFSETS, earlier: dict[str, DataFrame] | None = None, buffered: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> Compiled:
+def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_letters: bool = True, strict: bool = False, exact_sums: bool = False, ordered: bool = False, block: int | None = aggregates.BLOCK_OFFSETS, earlier: dict[str, DataFrame] | None = None, buffered: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> Compiled:
     """`sources` has an event frame for each source id. Without `dead_letters` bad events are dropped and filters stay plain.
 
     `earlier` and `buffered` are the totals of aggregates and the rows of joins, by

@@ -216,6 +216,25 @@ def test_join_like_the_interpreter(spark, seed):
         assert sorted(got, key=str) == interpret(events, kind, 4000)
 
 
+def test_runs_make_up_their_offsets(spark):
+    r = random.Random(2)
+    ranges = [(1, 1), (5, 5), (5, 4), (0, 16), (1, 40), (15, 17), (0, 4096), (3, 70_000)] + [(a, a + r.randint(0, 3000)) for a in (r.randint(0, 10**12) for _ in range(40))]
+    for a, b, found in spark.createDataFrame(ranges, "a long, b long").select("a", "b", joins._runs(F.col("a"), F.col("b"))).collect():
+        assert sorted(o for level, run in found for o in range(run << 4 * level, (run + 1) << 4 * level)) == [*range(a, b)]
+        assert len(found) <= 30 * 4 + 1
+
+
+def test_planning_a_join_runs_nothing(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        src = {i: frame(spark, i, [(1, {"account_id": "a"}, 5), (2, {"account_id": "b"}, 1)], "account_id string") for i in ("orders", "profiles")}
+        compile_pipeline(joining(), src)
+        assert not tracker.getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def joining(kind="left"):
     return S.Pipeline(
         "tenant-a", "p", 1, [S.Source("orders", "orders", 4, "account_id"), S.Source("profiles", "profiles", 4, "account_id")],
