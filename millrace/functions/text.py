@@ -21,3 +21,11 @@ def normalize_labels(labels: Column) -> Column:
 def floor_to(value: Column, step: int) -> Column:
     """The largest multiple of `step` that is not above a nonnegative whole number."""
     return value - F.pmod(value, F.lit(step))
+
+
+def strip_prefix(text: Column, *prefixes: str) -> Column:
+    """The text without the first of the prefixes that it begins with; as it is if there is none."""
+    out = text
+    for p in reversed(prefixes):
+        out = F.when(text.startswith(p), F.substr(text, F.lit(len(p) + 1))).otherwise(out)
+    return out

@@ -67,8 +67,8 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in [*ENVELOPE, "_key", "payload"]], old[0].alias(f"{prefix}_old"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: str = "join", *, clock: DataFrame | None = None, ordered: bool = False, block: int = BLOCK_OFFSETS, buffered: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Event frame with payload {join_key, left, right}.
+def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: str = "join", *, clock: DataFrame | None = None, ordered: bool = False, block: int = BLOCK_OFFSETS, buffered: tuple[DataFrame, DataFrame] | None = None, matches: bool = False) -> DataFrame:
+    """Event frame with payload {join_key, left, right}, with `matches` also `_match`: the place of the earlier event.
 
     `buffered` has event frames of earlier rows of both sides that are still there;
     they only meet rows of `left` and `right`.
@@ -105,19 +105,22 @@ def interval_join(left: DataFrame, right: DataFrame, op: S.Join, operator_id: st
         met = _unexpired(met, clock, within, block)
 
     last = [F.when(F.col("_left_last"), F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(c) for c in ENVELOPE]
-    pairs = met.select(*last, F.struct(F.when(F.col("_left_last"), F.col("l__key")).otherwise(F.col("r__key")).alias("join_key"), F.col("l_payload").alias("left"), F.col("r_payload").alias("right")).alias("payload"))
+    first = [F.struct(*[F.when(F.col("_left_last"), F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(c) for c in _ORDER]).alias("_match")] if matches else []
+    pairs = met.select(*last, *first, F.struct(F.when(F.col("_left_last"), F.col("l__key")).otherwise(F.col("r__key")).alias("join_key"), F.col("l_payload").alias("left"), F.col("r_payload").alias("right")).alias("payload"))
     out = [pairs]
     if op.join == "left":
         matched = met.where("_left_last").select(F.col("l_partition_id").alias("partition_id"), F.col("l_offset").alias("offset"), F.col("l_source_id").alias("source_id")).distinct()
         alone = left_alone.join(matched, ["partition_id", *_ORDER], "left_anti")
         nothing = F.lit(None).cast(right.schema["payload"].dataType)
-        out.append(alone.select(*ENVELOPE, F.struct(F.col("_key").alias("join_key"), F.col("payload").alias("left"), nothing.alias("right")).alias("payload")))
+        none = [F.lit(None).cast(pairs.schema["_match"].dataType).alias("_match")] if matches else []
+        out.append(alone.select(*ENVELOPE, *none, F.struct(F.col("_key").alias("join_key"), F.col("payload").alias("left"), nothing.alias("right")).alias("payload")))
     result = reduce(DataFrame.unionByName, out)
     if not routes:
         return result
     result = result.withColumns({"_error": X.no_error(), "_error_op": X.no_error()})
     kind = result.schema["payload"].dataType
     for bad in (bad_left, bad_right):
+        bad = bad.withColumn("_match", F.lit(None).cast(result.schema["_match"].dataType)) if matches else bad
         result = result.unionByName(bad.withColumn("payload", F.lit(None).cast(kind)).select(result.columns))
     return result
 

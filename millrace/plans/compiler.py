@@ -7,6 +7,8 @@ sensible one differ:
 * an event that a filter dropped, or an inner join left without a match, is a dead
   letter if an operator other than a join follows (default: it is dropped);
 * whole-number fields never equal number literals (default: equal by value);
+* an operator other than a join takes only the oldest of the matches that an event had
+  in a join before it (default: all);
 * operators run in declared order, and one before its upstream is skipped (default:
   topological order);
 * offset 0 is not processed (default: it is).
@@ -62,6 +64,14 @@ class Compiled:
         out = [df.select(F.lit(i).alias("sink_id"), "partition_id", "offset", F.to_json("payload").alias("payload"), F.lit(by_id[i].to.destination).alias("destination")) for i, df in self.sinks.items()]
         return reduce(DataFrame.unionByName, out)
 
+    def totals(self) -> DataFrame:
+        """One row: the events that the sources gave and the rows that the sinks got."""
+        count = lambda df: df.select(F.lit(1).alias("n"))
+        read = [count(self.nodes[s.source_id]).withColumn("what", F.lit("read")) for s in self.pipeline.sources]
+        sent = [count(df).withColumn("what", F.lit("sent")) for df in self.sinks.values()]
+        every = reduce(DataFrame.unionByName, read + sent)
+        return every.agg(F.count_if(F.col("what") == "read").alias("processed_events"), F.count_if(F.col("what") == "sent").alias("sink_emissions"))
+
 
 def lineage_of(p: S.Pipeline, order: list[S.Operator]) -> dict[str, set[str]]:
     """The sources that each node's events come from."""
@@ -94,10 +104,13 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
             continue
         first, op = nodes[o.upstream_ids[0]], o.op
         if op.kind == "join":
-            nodes[o.operator_id] = _join(p, o, nodes, lineage, empty, strict and dead_letters, ordered, block, (buffered or {}).get(o.operator_id))
+            nodes[o.operator_id] = _join(p, o, nodes, lineage, empty, strict, strict and dead_letters, ordered, block, (buffered or {}).get(o.operator_id))
             if strict and dead_letters:
                 empty.add(o.operator_id)
             continue
+        if "_match" in first.columns:
+            oldest = F.row_number().over(Window.partitionBy(*EVENT_KEY).orderBy(F.asc_nulls_first("_match")))
+            first = first.withColumn("_rank", oldest).where("_rank = 1").drop("_rank", "_match")
         if o.upstream_ids[0] in empty:
             first = rows._mark(first, F.when(F.col("_empty"), F.lit(X.EMPTY_UPSTREAM.format(_LABELS.get(op.kind, op.kind)))), o.operator_id).drop("_empty")
         if op.kind == "filter" and strict and dead_letters:
@@ -119,16 +132,16 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
     return replace(out, inputs=inputs, empty=frozenset(empty))
 
 
-def _join(p, o, nodes, lineage, empty, keep_empty, ordered, block, buffered) -> DataFrame:
+def _join(p, o, nodes, lineage, empty, strict, keep_empty, ordered, block, buffered) -> DataFrame:
     left_id, right_id = o.upstream_ids
     left, right, clock = join_inputs(o, nodes, lineage, empty)
-    out = joins.interval_join(left, right, o.op, o.operator_id, clock=clock, ordered=ordered, buffered=buffered, **({} if block is None else {"block": block}))
+    out = joins.interval_join(left, right, o.op, o.operator_id, clock=clock, ordered=ordered, buffered=buffered, matches=strict, **({} if block is None else {"block": block}))
     if not keep_empty:
         return out
     # In strict mode events without a match are there too, without a value.
     out = out.withColumn("_empty", F.lit(False))
     reached = reduce(DataFrame.unionByName, [nodes[i].where("_error is null").select(*ENVELOPE) for i in (left_id, right_id)])
-    rest = reached.join(out.select(*EVENT_KEY), EVENT_KEY, "left_anti").withColumns({"payload": F.lit(None).cast(out.schema["payload"].dataType), "_error": X.no_error(), "_error_op": X.no_error(), "_empty": F.lit(True)})
+    rest = reached.join(out.select(*EVENT_KEY), EVENT_KEY, "left_anti").withColumns({"payload": F.lit(None).cast(out.schema["payload"].dataType), "_error": X.no_error(), "_error_op": X.no_error(), "_empty": F.lit(True), "_match": F.lit(None).cast(out.schema["_match"].dataType)})
     return out.unionByName(rest.select(out.columns))
 
 
@@ -151,7 +164,7 @@ def _outputs(p: S.Pipeline, nodes: dict[str, DataFrame], empty: set[str], dead_l
     ends = list(dict.fromkeys([*leaves, *(k.upstream_id for k in p.sinks if k.upstream_id in nodes)]))
     clean = lambda df, i: df.where(~F.col("_empty")).drop("_empty") if i in empty else df
     if not dead_letters:
-        return Compiled(p, nodes, {k.sink_id: nodes[k.upstream_id] for k in p.sinks if k.upstream_id in nodes}, None)
+        return Compiled(p, nodes, {k.sink_id: nodes[k.upstream_id].drop("_match") for k in p.sinks if k.upstream_id in nodes}, None)
     place = F.create_map(*[F.lit(x) for i, n in enumerate([*(s.source_id for s in p.sources), *(o.operator_id for o in p.operators)]) for x in (n, i)])
     failed = [nodes[i].where("_error is not null").select(*ENVELOPE, F.col("_error").alias("failure_reason"), F.col("_error_op").alias("operator_id"), place[F.col("_error_op")].alias("_at")) for i in ends]
     bad = reduce(DataFrame.unionByName, failed)

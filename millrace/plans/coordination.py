@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.plans import spec as S
@@ -90,6 +90,31 @@ def rebalance(p: S.Pipeline, workers: list[Worker], current: list[Assignment], n
     return out
 
 
+def rebalance_table(workers: DataFrame, partitions: int, epoch: int, now: int, stale_after: int) -> DataFrame:
+    """`rebalance` over a table of workers: (partition_id, worker_id, lease_epoch).
+
+    Taking the least loaded worker again and again is taking the workers' free places in
+    the order of (place, heartbeat, id), so the first places are a top-k.
+    """
+    fresh = workers.where((F.col("status") == "ready") & (F.col("last_heartbeat_at") + stale_after >= now) & (F.col("active_assignments") < F.col("max_assignments")))
+    places = fresh.select("worker_id", "last_heartbeat_at", F.explode(F.sequence(F.col("active_assignments"), F.least(F.col("max_assignments"), F.col("active_assignments") + partitions) - 1)).alias("place"))
+    order = ["place", "last_heartbeat_at", "worker_id"]
+    taken = places.orderBy(*order).limit(partitions)
+    number = F.row_number().over(Window.orderBy(*order)) - 1  # of as many rows as there are partitions
+    return taken.select(number.cast("int").alias("partition_id"), "worker_id", F.lit(epoch).cast("long").alias("lease_epoch"))
+
+
+def replace_assignments(assignments: DataFrame, new: DataFrame, tenant_id: str, pipeline_id: str) -> DataFrame:
+    """The assignment table with `new` in place of all that the pipeline had."""
+    others = assignments.where(~((F.col("tenant_id") == tenant_id) & (F.col("pipeline_id") == pipeline_id)))
+    return others.unionByName(new.select(assignments.columns))
+
+
+def worker_assignments(assignments: DataFrame, worker_id: str) -> DataFrame:
+    """What a worker holds, by tenant, pipeline and partition."""
+    return assignments.where(F.col("worker_id") == worker_id).orderBy("tenant_id", "pipeline_id", "partition_id")
+
+
 @dataclass(frozen=True)
 class Expiry:
     workers: DataFrame

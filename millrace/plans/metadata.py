@@ -17,15 +17,16 @@ from millrace.plans.validate import validate
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`table` with `rows` in place of those with equal keys; of equal keys within `rows` any one."""
+    """`table` with `rows` in place of those with equal keys; of equal keys within `rows` the row with the smallest hash."""
     newer = rows.withColumn("_new", F.lit(1)).unionByName(table.withColumn("_new", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), F.xxhash64(*table.columns)))
     return newer.withColumn("_rank", rank).where("_rank = 1").drop("_new", "_rank")
 
 
 def insert_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """`table` with the rows whose keys it lacks, and those rows."""
-    fresh = rows.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    """`table` with the rows whose keys it lacks, and those rows; of equal keys the row with the smallest hash."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*rows.columns)))
+    fresh = rows.join(table.select(*keys), keys, "left_anti").withColumn("_rank", first).where("_rank = 1").drop("_rank")
     return table.unionByName(fresh), fresh
 
 

@@ -44,6 +44,27 @@ def claim(job: ReplayJob, worker_id: str) -> ReplayJob:
     return replace(job, status="running", claimed_by_worker_id=worker_id)
 
 
+def oldest_pending(jobs: DataFrame) -> DataFrame:
+    """The pending job that was asked for first, of several the one with the smallest id; no row if there is none."""
+    return jobs.where("status = 'pending'").orderBy("created_at", "replay_job_id").limit(1)
+
+
+def transition(jobs: DataFrame, job_ids: DataFrame, now: int, *, status: str | None = None, worker_id: str | None = None, last_processed_offset: int | None = None, error_message: str | None = None) -> DataFrame:
+    """The job table after a step of the jobs named in `job_ids`: claimed, got on, succeeded or failed.
+
+    What is not given stays as it was.
+    """
+    named = job_ids.select("replay_job_id").distinct().withColumn("_named", F.lit(True))
+    given = {"status": status, "claimed_by_worker_id": worker_id, "last_processed_offset": last_processed_offset, "error_message": error_message, "updated_at": now}
+    out = jobs.join(named, "replay_job_id", "left")
+    return out.select(*[F.when(F.col("_named"), F.lit(given[c]).cast(jobs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if given.get(c) is not None else F.col(c) for c in jobs.columns])
+
+
+def claim_oldest(jobs: DataFrame, worker_id: str, now: int) -> DataFrame:
+    """The job table after a worker took the oldest pending job."""
+    return transition(jobs, oldest_pending(jobs), now, status="running", worker_id=worker_id)
+
+
 def replay(p: S.Pipeline, sources: dict[str, DataFrame], from_offset: int, to_offset: int | None = None, *, last: int | None = None, **options) -> Compiled:
     """The compiled pipeline over the range; every partition starts without state and the whole range is covered."""
     strict = options.get("strict", False)

@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import normalize_labels, slugify
+from millrace.functions.text import normalize_labels, slugify, strip_prefix
 from millrace.operators import aggregates, joins, rows
 from millrace.plans import coordination, introspection, metadata, replay
 from millrace.plans import spec as S
 from millrace.plans.compiler import Compiled, compile_pipeline
 from millrace.sources import events as E
 from millrace.streaming import windows
+from millrace.streaming.engine import Engine, combined, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -421,6 +422,153 @@ def _(spark, d):
     return out.select("user_id", "start_epoch_ms", "n")
 
 
+# -- more of coordination, replays, listings and streams ------------------
+@query("key_by_places", "select user_id, count(*) as n, cast(1 as bigint) as places from events group by 1")
+def _(spark, d):
+    """Dealt out by key, every key is in one place."""
+    keyed = rows.key_by(event_log(spark, d), S.KeyBy("user_id", 12), physical=True)
+    return keyed.select("payload.user_id", F.spark_partition_id().alias("place")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"))
+
+
+_PLACES = f"""pl as (select 'worker-' || cast(s_suppkey as varchar) as worker_id, cast({NOW} - s_suppkey % 40 as bigint) as seen, unnest(range(s_suppkey % 3, 1 + s_suppkey % 5)) as place from supplier where s_suppkey % 6 <> 0),
+taken as (select worker_id, row_number() over (order by place, seen, worker_id) - 1 as i from pl where seen + 30 >= {NOW})"""
+
+
+def _supplier_workers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _table(spark, d, "supplier").select(F.concat(F.lit("worker-"), k.cast("string")).alias("worker_id"), F.when(k % 6 == 0, "draining").otherwise("ready").alias("status"), (F.lit(NOW) - k % 40).cast("long").alias("last_heartbeat_at"), (k % 3).cast("int").alias("active_assignments"), (1 + k % 5).cast("int").alias("max_assignments"))
+
+
+@query("rebalance_workers", f"with {_PLACES} select cast(i as integer) as partition_id, worker_id, cast(8 as bigint) as lease_epoch from taken where i < 12")
+def _(spark, d):
+    return coordination.rebalance_table(_supplier_workers(spark, d), 12, 8, NOW, 30)
+
+
+@query("replace_assignments", f"with {_WORKERS}, {_PLACES} select tenant_id, pipeline_id, partition_id, worker_id from asg where pipeline_id <> 'b' union all select 'tenant-a', 'b', cast(i as integer), worker_id from taken where i < 12")
+def _(spark, d):
+    new = coordination.rebalance_table(_supplier_workers(spark, d), 12, 8, NOW, 30).select(F.lit("tenant-a").alias("tenant_id"), F.lit("b").alias("pipeline_id"), "partition_id", "worker_id")
+    return coordination.replace_assignments(_workers(spark, d)[1], new, "tenant-a", "b")
+
+
+@query("worker_assignments", f"with {_WORKERS} select * from asg where worker_id = 'worker-5'")
+def _(spark, d):
+    return coordination.worker_assignments(_workers(spark, d)[1], "worker-5")
+
+
+@query("insert_new", "with t as (select n_nationkey as id, n_name as name from nation where n_nationkey < 20), c as (select distinct cast(c_nationkey as integer) as id from customer) select id, name from t union all select id, 'customer' from c where id not in (select id from t)")
+def _(spark, d):
+    t = _table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    new = _table(spark, d, "customer").select(F.col("c_nationkey").cast("int").alias("id"), F.lit("customer").alias("name"))
+    return metadata.insert_new(t, new, ["id"])[0]
+
+
+_JOBS = f"""{_LOG}, jobs as (select cast(o as varchar) as replay_job_id, 'tenant-a' as tenant_id, case when o % 2 = 0 then 'a' else 'b' end as pipeline_id,
+case o % 4 when 0 then 'running' when 1 then 'succeeded' when 2 then 'failed' else 'pending' end as status, cast(null as varchar) as claimed_by_worker_id, o as last_processed_offset, cast((o * 37) % 1000 as bigint) as created_at, cast(0 as bigint) as updated_at from log where o % 50 < 4)"""
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("offset")
+    status = F.element_at(F.array(*map(F.lit, ("running", "succeeded", "failed", "pending"))), (o % 4 + 1).cast("int"))
+    return event_log(spark, d).where("offset % 50 < 4").select(o.cast("string").alias("replay_job_id"), F.lit("tenant-a").alias("tenant_id"), F.when(o % 2 == 0, "a").otherwise("b").alias("pipeline_id"), status.alias("status"), F.lit(None).cast("string").alias("claimed_by_worker_id"), o.alias("last_processed_offset"), (o * 37 % 1000).alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+
+
+@query("oldest_pending_job", f"with {_JOBS} select * from jobs where status = 'pending' order by created_at, replay_job_id limit 1")
+def _(spark, d):
+    return replay.oldest_pending(_jobs(spark, d))
+
+
+@query("claim_oldest_job", f"with {_JOBS}, first as (select replay_job_id as id from jobs where status = 'pending' order by created_at, replay_job_id limit 1) select replay_job_id, tenant_id, pipeline_id, case when id is null then status else 'running' end as status, case when id is null then null else 'worker-1' end as claimed_by_worker_id, last_processed_offset, created_at, cast(case when id is null then 0 else {NOW} end as bigint) as updated_at from jobs left join first on id = replay_job_id")
+def _(spark, d):
+    return replay.claim_oldest(_jobs(spark, d), "worker-1", NOW)
+
+
+@query("finish_running_jobs", f"with {_JOBS} select replay_job_id, case when status = 'running' then 'succeeded' else status end as status, case when status = 'running' then cast(99 as bigint) else last_processed_offset end as last_processed_offset, cast(case when status = 'running' then {NOW} else 0 end as bigint) as updated_at from jobs")
+def _(spark, d):
+    jobs = _jobs(spark, d)
+    return replay.transition(jobs, jobs.where("status = 'running'"), NOW, status="succeeded", last_processed_offset=99).select("replay_job_id", "status", "last_processed_offset", "updated_at")
+
+
+@query("replay_job_listing", f"with {_JOBS} select replay_job_id, status, created_at from jobs where tenant_id = 'tenant-a' and pipeline_id = 'b'")
+def _(spark, d):
+    return introspection.listing(_jobs(spark, d), "replay_jobs", "tenant-a", "b").select("replay_job_id", "status", "created_at")
+
+
+@query("newest_checkpoints", f"with {_META} select partition_id, kafka_offset, created_at from ck order by created_at desc limit 10")
+def _(spark, d):
+    ck = _metadata(spark, d)["checkpoints"].withColumns({"tenant_id": F.lit("tenant-a"), "pipeline_id": F.lit("a")})
+    return introspection.listing(ck, "checkpoints", "tenant-a", "a").select("partition_id", "kafka_offset", "created_at").limit(10)
+
+
+@query("newest_dead_letters", f"with {_META} select partition_id, event_offset from dl order by event_offset desc limit 10")
+def _(spark, d):
+    dl = _metadata(spark, d)["dead_letters"].withColumns({"tenant_id": F.lit("tenant-a"), "pipeline_id": F.lit("a"), "created_at": F.col("event_offset")})
+    return introspection.listing(dl, "dead_letters", "tenant-a", "a").select("partition_id", "event_offset").limit(10)
+
+
+@query("poll_totals", f"with {_LOG}, kept as (select * from log where event_type = 'purchase') select (select count(*) from log) as processed_events, 2 * (select count(*) from kept) as sink_emissions")
+def _(spark, d):
+    return _run(spark, d, flagship(), dead_letters=False).totals()
+
+
+@query("strip_prefix", "select c_custkey, case when c_mktsegment like 'BU%' then substr(c_mktsegment, 3) when c_mktsegment like 'A%' then substr(c_mktsegment, 2) else c_mktsegment end as rest from customer")
+def _(spark, d):
+    return _table(spark, d, "customer").select("c_custkey", strip_prefix(F.col("c_mktsegment"), "BU", "A").alias("rest"))
+
+
+#: A log out of time order: a third of the events comes with a time up to 20 hours too early.
+_LATE = "late as (select o, p, event_type, user_id, value, case when o % 3 = 0 then ms - (o * 7 % 120) * 600000 else ms end as ms from log)"
+
+
+def _late(spark: SparkSession, d: str, source_id: str, kind: str) -> DataFrame:
+    o = F.col("offset")
+    back = F.when(o % 3 == 0, o * 7 % 120 * 600_000).otherwise(0)
+    return event_log(spark, d, source_id=source_id, where=F.col("event_type") == kind).withColumn("event_time_ms", F.col("event_time_ms") - back)
+
+
+@query("join_out_of_order", f"""with {_LOG}, {_LATE}, side as (select * from late where event_type in ('click', 'purchase')),
+pairs as (select l.o as lo, r.o as ro, l.p, l.user_id, l.value as lv, r.value as rv, case when l.o < r.o then l.ms else r.ms end as t1 from side l join side r on l.user_id = r.user_id and l.p = r.p and abs(l.ms - r.ms) <= {12 * _HOUR} where l.event_type = 'click' and r.event_type = 'purchase')
+select {_PAIR_COLUMNS} from pairs where not exists (select 1 from side e where e.p = pairs.p and e.o > least(lo, ro) and e.o <= greatest(lo, ro) and e.ms > t1 + {12 * _HOUR})""")
+def _(spark, d):
+    left, right = _late(spark, d, "clicks", "click"), _late(spark, d, "purchases", "purchase")
+    out = joins.interval_join(left, right, S.Join("inner", "user_id", 12 * 3600))
+    return out.select("partition_id", "offset", "payload.join_key", F.col("payload.left.value").alias("left_value"), F.col("payload.right.value").alias("right_value"))
+
+
+def _strict_join() -> S.Pipeline:
+    return S.Pipeline("tenant-a", "strict", 1, [S.Source("clicks", "clicks", 4, "user_id"), S.Source("purchases", "purchases", 4, "user_id")], [S.Operator("j", ["clicks", "purchases"], S.Join("inner", "user_id", 3600)), S.Operator("m", ["j"], S.Map("join_key, left.value as left_value, right.value as right_value"))], [S.Sink("out", "m", S.ViewSink("v"))])
+
+
+@query("join_first_match", f"with {_LOG}, {_PAIRS}, kept as (select *, row_number() over (partition by greatest(lo, ro) order by least(lo, ro)) as place from pairs) select {_PAIR_COLUMNS} from kept where place = 1")
+def _(spark, d):
+    src = {i: event_log(spark, d, source_id=i, where=F.col("event_type") == k) for i, k in (("clicks", "click"), ("purchases", "purchase"))}
+    out = compile_pipeline(_strict_join(), src, strict=True, dead_letters=False, ordered=True).sinks["out"]
+    return out.select("partition_id", "offset", "payload.join_key", "payload.left_value", "payload.right_value")
+
+
+@query("stream_running_sum", f"with {_LOG} select p as partition_id, o as \"offset\", count(*) {_RUN} as \"count\", cast(sum({_EXACT}) {_RUN} as double) as value from log where event_type <> 'error' and o % 10 > 5")
+def _(spark, d):
+    """A pipeline with dead letters that gets its events in three batches, with the state between them in snapshots."""
+    log = _bonus_log(spark, d)
+    engine = Engine(spark, _fallible(), work_dir(spark), exact_sums=True)
+    for batch, part in enumerate((log.where("offset < 3000"), log.where("offset between 3000 and 5999"), log.where("offset >= 6000"))):
+        engine.process(combined({"events": part}), batch)
+    return _flat(engine.emissions("out"), count="count", value="value")
+
+
+@query("stream_window_counts", f"with {_LOG} select (ms // 86400000) * 86400000 as start_epoch_ms, event_type, count(*) as n from log group by 1, 2")
+def _(spark, d):
+    """Windowed counts of a stream, each trigger's result over the last one's."""
+    root = work_dir(spark)
+    table = _table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    table.repartition(3).write.parquet(f"{root}/log")  # the files that come in
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    log = E.events(stream, source_id="events", partition_id=F.col("user_id") % 4, offset=F.col("event_id"), event_time_ms=E.epoch_ms(F.col("ts")), payload=["event_type"])
+    counts = windows.window_aggregate(log, S.Window("tumbling", 86_400), {"event_type": F.col("payload.event_type")}, {"n": F.count(F.lit(1))}).drop("end_epoch_ms")
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{root}/counts")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/counts")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -43,12 +43,16 @@ def from_json(df: DataFrame, schema: T.StructType, *, value: str = "value", **en
 
 
 def read_source(spark: SparkSession, encoding: str, path: str, *, schema: T.StructType | None = None) -> DataFrame:
-    """A table of one source: Parquet, or JSON lines of a schema.
+    """A table of one source: JSON lines of a schema, Avro files, or a Parquet archive of decoded events.
 
-    Avro and Protobuf need Spark's own connector packages on the class path.
+    Avro needs Spark's own connector package on the class path.
     """
     if encoding == "json":
-        return spark.read.schema(schema).json(path) if schema else spark.read.parquet(path)
+        if schema is None:
+            raise ValueError("JSON lines need a schema")
+        return spark.read.schema(schema).json(path)
+    if encoding == "parquet":
+        return spark.read.parquet(path)
     if encoding == "avro":
         return spark.read.format("avro").load(path)
     raise ValueError(f"no reader for the encoding {encoding}")

@@ -9,6 +9,8 @@ writes the same rows to the same place. No Python function sees a row.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,16 @@ def combined(streams: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for a query's state: below `spark.checkpoint.dir`, or a temporary one in a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/millrace/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
 def source_options(pipeline: S.Pipeline, source: S.Source) -> dict[str, str]:
     """Reader options that keep a micro-batch within the deployment's messages in flight for each partition."""
     return {"subscribe": source.topic_name, "maxOffsetsPerTrigger": str(pipeline.deployment.max_in_flight_messages * source.partition_count)}

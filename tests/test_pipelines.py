@@ -12,6 +12,7 @@ from millrace.operators import aggregates, joins, rows
 from millrace.plans import replay
 from millrace.plans import spec as S
 from millrace.plans.compiler import NotRunnable, compile_pipeline
+from millrace.sources.events import read_source
 from millrace.streaming.engine import Engine, combined, source_options
 
 T0 = 1_735_000_000_000
@@ -376,3 +377,24 @@ def test_state_goes_when_it_is_not_needed(spark, tmp_path):
 def test_reader_options_bound_a_batch():
     p = joining()
     assert source_options(p, p.sources[0]) == {"subscribe": "orders", "maxOffsetsPerTrigger": str(4 * p.deployment.max_in_flight_messages)}
+
+
+def test_strict_operators_after_a_join_take_the_oldest_match(spark):
+    events = [(1, "r", 1, 1000, 0), (2, "r", 1, 2000, 0), (3, "l", 1, 3000, 0), (4, "r", 1, 4000, 0), (5, "l", 2, 5000, 0)]
+    left, right = sides(spark, events)
+    p = S.Pipeline(
+        "tenant-a", "p", 1, [S.Source("left", "l", 1, "k"), S.Source("right", "r", 1, "k")],
+        [S.Operator("j", ["left", "right"], S.Join("left", "k", 60)), S.Operator("m", ["j"], S.Map("left.n as l, right.n as r"))], [S.Sink("out", "m", S.ViewSink("v")), S.Sink("all", "j", S.ViewSink("w"))],
+    )
+    for strict, want in ((False, [(3, 3, 1), (3, 3, 2), (4, 3, 4), (5, 5, None)]), (True, [(3, 3, 1), (4, 3, 4), (5, 5, None)])):
+        c = compile_pipeline(p, {"left": left, "right": right}, strict=strict)
+        assert sorted((r.offset, r.payload.l, r.payload.r) for r in c.sinks["out"].collect()) == want
+        assert sorted(r.offset for r in c.sinks["all"].collect()) == [3, 3, 4, 5]
+        assert tuple(c.totals().first()) == (5, len(want) + 4)
+
+
+def test_json_lines_need_a_schema(spark, tmp_path):
+    with pytest.raises(ValueError):
+        read_source(spark, "json", str(tmp_path))
+    with pytest.raises(ValueError):
+        read_source(spark, "protobuf", str(tmp_path))
