@@ -4,8 +4,9 @@
 rules by sequential covering: a rule is a conjunction of thresholds that is grown
 on two thirds of the labelled rows for as long as a further condition raises the
 information gain, then cut back on the other third, and kept if it is precise
-there; the rows that it covers are taken out and the next rule is sought. The list
-is a Spark conditional expression, so that applying it needs no Python.
+there (`MIN_PRECISION`); the rows that it covers are taken out and the next rule is
+sought, until one isn't precise or `MAX_RULES` are found. The list is a Spark
+conditional expression, so that applying it needs no Python.
 
 Only the learning sees a bounded sample of labelled rows (`MAX_LABELLED`, the rows
 with the smallest hash of doc_id); only their statistics, never texts, reach the
@@ -13,7 +14,10 @@ driver. Statistics and verdicts cover all rows.
 
 Defined results: a null or empty text has no words and fails the base rules; rows
 that are repeated are judged each; a null doc_id is judged too, but never
-labelled; extra columns are not looked at; without usable labels the list is
+labelled; of contradicting labels of one doc_id the bad one holds; labelled rows are
+dealt into thirds in the order of hashes of doc_id and text, so that ties are between
+equal rows; conditions that gain equally much are taken in the order of the features;
+texts are counted whole, whatever their length; extra columns are not looked at; without usable labels the list is
 empty and rejects nothing; an empty table gives an empty result.
 """
 
@@ -226,14 +230,11 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[Rule]:
             return (2 * ok - int(hit.sum())) / (int(hit.sum()) + 1)
 
         pruned = max((grown[:k] for k in range(len(grown), 0, -1)), key=worth)
+        seen = _holds(x[p], pruned)
+        ok, total = int((seen & bad[p]).sum()), int(seen.sum())
         hit = left & _holds(x, pruned)
-        ok, total = int((hit & bad).sum()), int(hit.sum())
-        if ok < MIN_COVER or ok / total < MIN_PRECISION:
-            pruned = grown
-            hit = left & _holds(x, pruned)
-            ok, total = int((hit & bad).sum()), int(hit.sum())
-            if ok < MIN_COVER or ok / total < MIN_PRECISION:
-                break
+        if not ok or ok / total < MIN_PRECISION or (hit & bad).sum() < MIN_COVER:
+            break
         rules.append(Rule(tuple(Condition(names[j], a, t) for j, a, t in pruned)))
         left &= ~hit
     return rules
@@ -245,8 +246,8 @@ def learn_decision_list(docs: DataFrame, labels: DataFrame, *, doc_id: str = "do
     rows = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # small enough to broadcast
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
-    stats = with_statistics(texts).select("doc_id", "y", "statistics.*")
-    sample = stats.select("doc_id", "y", base_failed().alias("base"), *[c.alias(k) for k, c in named.items()]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
+    stats = with_statistics(texts).select("doc_id", "y", F.xxhash64("text").alias("text_hash"), "statistics.*")
+    sample = stats.select("doc_id", "text_hash", "y", base_failed().alias("base"), *[c.alias(k) for k, c in named.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(max_labelled).toPandas()
     sample = sample[~sample["base"].astype(bool)]  # the base rules have those already
     return learn_rules(sample[list(named)].to_numpy(dtype=float), (sample["y"] == 0).to_numpy(), list(named))
 

@@ -13,9 +13,11 @@ a parameter. Forest, dictionary and model have a fixed size and are broadcast; a
 document is worked on alone and nothing is shuffled.
 
 Defined results: null and empty texts give no row; repeated rows give repeated
-findings; of overlapping candidates the one that begins first is kept, then the
-longest; a null path counts as empty; extra columns are not looked at; an empty
-table gives an empty result.
+findings; all candidates are scored, and of those that overlap secrets go before
+others, then key formats before assigned values before long strings, then the higher
+score, the earlier and the longer one; texts are scanned whole, whatever their length;
+a null doc_id is passed on; a null path counts as empty; extra columns are not looked
+at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ import random
 import re
 import string
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,15 +65,14 @@ _ALPHABET = string.ascii_lowercase + "0"
 FEATURES = ("length", "entropy", "transitions", "covered", "digits", "upper", "hex", "repeats", "kinds", "assigned", "format", "key_word_near", "harmless_near", "harmless_path", "harmless_inside", "commas")
 
 
-@dataclass(frozen=True)
-class Candidate:
+class Candidate(NamedTuple):
     start: int
     end: int
     kind: str
 
 
 def candidates(text: str) -> list[Candidate]:
-    """Spans that may be secrets, in order, without overlaps."""
+    """Spans that may be secrets, in order; they may overlap."""
     found: list[Candidate] = []
     lower = text.lower()
     if any(k in lower for k in ("token", "secret", "passw", "passphrase", "pwd", "key", "auth", "bearer", "credential")):
@@ -83,11 +85,23 @@ def candidates(text: str) -> list[Candidate]:
             s = m[0]
             if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
                 found.append(Candidate(m.start(), m.end(), "long"))
-    out: list[Candidate] = []
-    for c in sorted(found, key=lambda c: (c.start, -c.end, c.kind)):
-        if not out or c.start >= out[-1].end:
-            out.append(c)
-    return out
+    return sorted(set(found), key=lambda c: (c.start, -c.end, c.kind))
+
+
+def _rank(kind: str) -> int:
+    return {"assigned": 1, "long": 2}.get(kind, 0)
+
+
+def findings(text: str, path: str, lexicon: Lexicon, forest: Forest, threshold: float = THRESHOLD) -> list[tuple[Candidate, float]]:
+    """The candidates of a text with their scores, in order, without overlaps."""
+    scored = [(c, forest.score(features(text, c, path, lexicon))) for c in candidates(text)]
+    scored.sort(key=lambda x: (x[1] < threshold, _rank(x[0].kind), -x[1], x[0].start, -x[0].end, x[0].kind))
+    kept: list[tuple[int, int, float, Candidate]] = []  # apart from each other, in order
+    for c, score in scored:
+        k = bisect_left(kept, (c.start,))
+        if (k == 0 or kept[k - 1][1] <= c.start) and (k == len(kept) or kept[k][0] >= c.end):
+            kept.insert(k, (c.start, c.end, score, c))
+    return [(c, score) for *_, score, c in kept]
 
 
 class Lexicon:
@@ -95,6 +109,7 @@ class Lexicon:
 
     def __init__(self, words: list[str]):
         self.words = frozenset(w for w in words if len(w) >= 4 and w.isascii() and w.isalpha() and w.islower())
+        self.longest = max(map(len, self.words), default=0)
         counts = np.ones((27, 27))
         for w in self.words:
             for a, b in zip(w, w[1:]):
@@ -117,7 +132,7 @@ class Lexicon:
         """Share of the characters that dictionary words cover, longest words first from the left."""
         t, at, n = s.lower(), 0, 0
         while at < len(t):
-            k = next((k for k in range(min(16, len(t) - at), 3, -1) if t[at : at + k] in self.words), 0)
+            k = next((k for k in range(min(self.longest, len(t) - at), 3, -1) if t[at : at + k] in self.words), 0)
             n += k
             at += k or 1
         return n / max(1, len(t))
@@ -132,7 +147,7 @@ def features(text: str, c: Candidate, path: str, lexicon: Lexicon) -> list[float
     parts = set(re.findall("[a-z0-9]+", path.lower()))
     low = s.lower()
     return [
-        min(n, 200),
+        math.log(n),
         -sum(v / n * math.log2(v / n) for v in times.values()),
         lexicon.transitions(s),
         lexicon.covered(s),
@@ -221,7 +236,7 @@ def labelled_findings(lexicon: Lexicon, n: int = 3_000, seed: int = 3) -> Iterat
     letters, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     pick = lambda chars, k: "".join(r.choices(chars, k=k))
     prose = lambda k: " ".join(r.choices(words, k=k))
-    good_path = lambda: r.choice(["src3", "src/app.py", "config/prod.yml", "main.go", "", "lib/client.js", "deploy.sh", "forum"])
+    good_path = lambda: r.choice(["src/util.py", "src/app.py", "config/prod.yml", "main.go", "", "lib/client.js", "deploy.sh", "news"])
     bad_path = lambda: r.choice([*["src/app.py", "notes.txt", ""] * 2, "tests/fixtures/a.json", "docs/example.md", "package.lock"])
     equals = lambda: r.choice([" = ", "=", ": ", " := "])
     quote = lambda s: r.choice([f'"{s}"', f"'{s}'", s])
@@ -293,8 +308,7 @@ def scan(df: DataFrame, lexicon: Lexicon, forest: Forest, *, doc_id: str = "doc_
             rows = []
             for d, t, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = t.as_py() or ""
-                for c in candidates(s):
-                    score = trees.score(features(s, c, p or "", lex))
+                for c, score in findings(s, p or "", lex, trees, threshold):
                     rows.append((d, c.kind, c.start, c.end, xxhash.xxh3_64_hexdigest(s[c.start : c.end]), score, score >= threshold))
             columns = [*zip(*rows)] or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)

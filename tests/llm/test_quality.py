@@ -78,3 +78,55 @@ def test_covering_is_ordered_and_precise():
             h &= v > c.threshold if c.above else v <= c.threshold
         hit |= h
     assert (hit & bad).sum() > 0.9 * bad.sum() and (hit & ~bad).sum() < 0.03 * (~bad).sum()
+
+
+def test_learned_list_like_brute_force():
+    """Conditions grown by trying every feature, threshold and side on plain lists; pruned and judged on the third part."""
+    import math
+
+    names = ["symbols_per_word", "mean_word_chars", "upper_share"]
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 12, (240, 3)) / 12.0
+        bad = (x[:, 0] > 0.7) | ((x[:, 1] < 0.3) & (x[:, 2] > 0.5)) ^ (rng.random(240) < 0.01)
+        rows = [(*map(float, r), bool(b), i % 3 == 2) for i, (r, b) in enumerate(zip(x, bad))]
+        holds = lambda r, cs: all(r[j] > t if above else r[j] <= t for j, above, t in cs)
+        want = []
+        while len(want) < Q.MAX_RULES and sum(r[3] for r in rows) >= Q.MIN_COVER:
+            grow, prune = [r for r in rows if not r[4]], [r for r in rows if r[4]]
+            inside, grown = grow, []
+            while len(grown) < Q.MAX_CONDITIONS:
+                p0 = sum(r[3] for r in inside)
+                if not p0 or p0 == len(inside):
+                    break
+                best, choice = 1e-9, None
+                for j in range(3):
+                    values = np.array([r[j] for r in inside])
+                    for t in Q._cuts(values, np.array([r[3] for r in inside])):
+                        for above in (True, False):
+                            hit = [r for r in inside if holds(r, [(j, above, t)])]
+                            p = sum(r[3] for r in hit)
+                            if p >= Q.MIN_COVER and (g := p * (math.log2(p / len(hit)) - math.log2(p0 / len(inside)))) > best + 1e-12:
+                                best, choice = g, (j, above, float(t))
+                if choice is None:
+                    break
+                grown.append(choice)
+                inside = [r for r in inside if holds(r, [choice])]
+            if not grown:
+                break
+            worth = lambda cs: (2 * sum(r[3] for r in prune if holds(r, cs)) - sum(holds(r, cs) for r in prune)) / (sum(holds(r, cs) for r in prune) + 1)
+            cut = max((grown[:k] for k in range(len(grown), 0, -1)), key=worth)
+            seen = [r[3] for r in prune if holds(r, cut)]
+            if not sum(seen) or sum(seen) / len(seen) < Q.MIN_PRECISION or sum(r[3] for r in rows if holds(r, cut)) < Q.MIN_COVER:
+                break
+            want.append(tuple(Q.Condition(names[j], a, t) for j, a, t in cut))
+            rows = [r for r in rows if not holds(r, cut)]
+        got = [r.conditions for r in Q.learn_rules(x, bad, names)]
+        assert got == want[: len(got)] and abs(len(got) - len(want)) <= 1 and got, seed
+
+
+def test_rows_of_one_id_are_dealt_alike_in_any_order(spark, docs):
+    rows = [(i // 2, t) for i, t, _ in made(160)]
+    labels = spark.createDataFrame([(i, int(i % 2 > 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    one, other = (Q.learn_decision_list(docs(r).repartition(n), labels) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert one == other
