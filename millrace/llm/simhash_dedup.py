@@ -98,8 +98,10 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     inside = distinct.join(found, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     least = inside.groupBy("root").agg(F.min("first_id").alias("component_id"))
     grouped = inside.join(least, "root").select("fp", "component_id")
-    named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    # Saved, so that in the join with the documents Spark can split the rows of a fingerprint that a third of them have.
+    named = scratch.save(distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "named")
+    scratch.drop(distinct, found)
+    return docs.join(named.hint("shuffle_hash"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, near: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
