@@ -31,6 +31,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from string import ascii_letters
 
 import ahocorasick
 import pyarrow as pa
@@ -44,7 +45,10 @@ _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
 _NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 _CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {x: x + 0x20 for x in range(0x10D50, 0x10D66)} | {x: x + 0x1B for x in range(0x16EA0, 0x16EB9)}
-_HAS_CAPITALS = re.compile(f"[{''.join(map(chr, _CAPITALS))}]").search
+_HAS_CAPITALS = re.compile(f"[{''.join(chr(x) for x in _CAPITALS if x < 0x10000)}]").search
+# What lies beyond the first 65,536 characters is looked at one by one; below, a set finds the few that tables differ in.
+_IS_BEYOND = re.compile("[\U00010000-\U0010ffff]").search
+_HAS_LATE = re.compile(f"[{''.join(c for c in regex.findall(r'[\p{L}\p{N}]', ''.join(map(chr, range(0xD800)))) + regex.findall(r'[\p{L}\p{N}]', ''.join(map(chr, range(0xE000, 0x10000)))) if unicodedata.category(c) == 'Cn')}]").search
 _END_SHIFT = 0x400  # a word's last symbol is another symbol than the same byte elsewhere
 _CACHE_WORDS = 150_000  # in each of two generations
 _ROWS = 256  # texts whose tokens are held at a time
@@ -70,7 +74,7 @@ def _onig(pattern: str) -> str:
 
 def _lower(text: str) -> str:
     """Lower case character by character: no final sigma."""
-    if not text.isascii() and _HAS_CAPITALS(text):
+    if not text.isascii() and (_HAS_CAPITALS(text) or _IS_BEYOND(text)):
         text = text.translate(_CAPITALS)
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
@@ -87,8 +91,9 @@ def _exact(find: regex.Pattern) -> Callable[[str], list[str]]:
     """All matches of a pattern, which sees characters that Python's tables don't have as others of their class."""
 
     def pieces(s: str) -> list[str]:
-        if s.isascii() or (t := "".join(map(_like, s))) == s:
+        if s.isascii() or not (_HAS_LATE(s) or _IS_BEYOND(s)):
             return find.findall(s)
+        t = "".join(map(_like, s))
         return [s[m.start() : m.end()] for m in find.finditer(t)]
 
     return pieces
@@ -113,6 +118,9 @@ class BpeCodec:
             raise ValueError("only BPE models without a decoder are supported")
         self._steps = [self._normalizer(x) for x in _flat(d.get("normalizer"), "normalizers")]
         self._pieces = self._pre_tokenizer(_flat(d.get("pre_tokenizer"), "pretokenizers"))
+        # Of ASCII words nothing is changed but capitals, and letters alone are one piece.
+        self._lowers = any(x["type"] == "Lowercase" for x in _flat(d.get("normalizer"), "normalizers"))
+        self._letters_whole = "[\\p{L}]+" in json.dumps(d["pre_tokenizer"]).replace("\\\\", "\\") and self._pieces(ascii_letters) == [ascii_letters]
         added = {x["content"]: x["id"] for x in d.get("added_tokens", [])}
         if any(x.get("normalized") or x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in d.get("added_tokens", [])):
             raise ValueError("only plain added tokens are supported")
@@ -180,6 +188,7 @@ class BpeCodec:
             a, b = parts[t]
             whole[t] = len(s) == 1 or (a >= 0 and whole[a] and whole[b] and self._untouched(a, b))
         usable = {s: t for s, t in ids.items() if whole[t]}
+        self._usable = usable
         self._length = [0] * size
         self._shorter = [-1] * size
         self._atoms = {s: t for s, t in usable.items() if len(s) == 1}
@@ -200,6 +209,7 @@ class BpeCodec:
         self._names, self._offsets = "".join(names), [0]
         for s in names:
             self._offsets.append(self._offsets[-1] + len(s))
+        self._cut = [self._names[a:b] for a, b in zip(self._offsets, self._offsets[1:])]  # each token cut out once
         self._decimal = [str(i) for i in range(size)]
 
     # -- pair table -------------------------------------------------------
@@ -235,9 +245,11 @@ class BpeCodec:
 
     # -- encoding ---------------------------------------------------------
     def _word(self, piece: str) -> list[int]:
-        s = piece.encode("utf-8").decode("latin-1").translate(self._symbols)
+        s = piece if piece.isascii() and piece.isalpha() else piece.encode("utf-8").decode("latin-1").translate(self._symbols)
         if self._has_end:
             s = s[:-1] + chr(ord(s[-1]) + _END_SHIFT)
+        if (token := self._usable.get(s)) is not None:
+            return [token]
         n = last = len(s)
         last -= 1
         length, shorter, pairs, compatible = self._length, self._shorter, self._pairs, self.compatible
@@ -250,7 +262,7 @@ class BpeCodec:
         pos, token, before = 0, longest[last], -1
         while pos < n:
             while token >= 0:
-                if pos + length[token] not in dead:
+                if not dead or pos + length[token] not in dead:
                     if before < 0:
                         break
                     fits = pairs.get((before, token))
@@ -274,9 +286,15 @@ class BpeCodec:
         got = self._older.get(raw)
         if got is None:
             s = raw
-            for step in self._steps:
-                s = step(s)
-            got = tuple([i for p in self._pieces(s) for i in self._word(p)])
+            if raw.isascii():
+                s = raw.lower() if self._lowers else raw
+            else:
+                for step in self._steps:
+                    s = step(s)
+            if self._letters_whole and s.isascii() and s.isalpha():
+                got = tuple(self._word(s))
+            else:
+                got = tuple([i for p in self._pieces(s) for i in self._word(p)])
         if len(raw) <= _CACHE_CHARS:
             if len(self._cache) >= _CACHE_WORDS:
                 self._older, self._cache = self._cache, {}
@@ -301,8 +319,7 @@ class BpeCodec:
 
     def decode(self, ids) -> str:
         """Text of token ids: the tokens of the offset table, joined by spaces."""
-        names, offsets = self._names, self._offsets
-        return " ".join([names[offsets[i] : offsets[i + 1]] for i in ids])
+        return " ".join(map(self._cut.__getitem__, ids))
 
 
 class Encoded:
