@@ -86,6 +86,8 @@ def running_aggregate(df: DataFrame, op: S.Aggregate, operator_id: str = "aggreg
         out = {"sum": lambda: total["sum"].cast("double"), "min": lambda: total["min"], "max": lambda: total["max"], "average": lambda: total["sum"].cast("double") / total["n"]}[op.function]()
         payload = F.struct(count, F.when(~F.isnan(out) & (F.abs(out) < F.lit(float("inf"))), out).alias("value"))
     out = rows.withColumn("payload", payload).select(*df.columns)
+    if bad is not None:  # as constants, so that whoever asks for errors alone plans no window
+        out = out.withColumns({"_error": X.no_error(), "_error_op": X.no_error()})
     return out if bad is None else out.unionByName(bad.withColumn("payload", F.lit(None).cast(out.schema["payload"].dataType)))
 
 

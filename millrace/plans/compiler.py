@@ -93,10 +93,13 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
     order = list(p.operators) if strict else [by_id[i] for i in topological_order(p)]
     lineage = lineage_of(p, [by_id[i] for i in topological_order(p)])
     nodes: dict[str, DataFrame] = {}
+    joined = any(o.op.kind == "join" for o in order)
     for s in p.sources:
         df = sources[s.source_id].where(F.col("source_id") == s.source_id)
         df = df.where("offset > 0") if strict else df
         nodes[s.source_id] = rows.with_errors(df) if dead_letters else df.where("event_time_ms >= 0")
+        if dead_letters and not joined:  # what came in goes along; only dead letters read it
+            nodes[s.source_id] = nodes[s.source_id].withColumn("_original", F.col("payload"))
     inputs: dict[str, DataFrame] = {}
     empty: set[str] = set()  # nodes that, in strict mode, keep events without a value
     for o in order:
@@ -166,17 +169,20 @@ def _outputs(p: S.Pipeline, nodes: dict[str, DataFrame], empty: set[str], dead_l
     if not dead_letters:
         return Compiled(p, nodes, {k.sink_id: nodes[k.upstream_id].drop("_match") for k in p.sinks if k.upstream_id in nodes}, None)
     place = F.create_map(*[F.lit(x) for i, n in enumerate([*(s.source_id for s in p.sources), *(o.operator_id for o in p.operators)]) for x in (n, i)])
-    failed = [nodes[i].where("_error is not null").select(*ENVELOPE, F.col("_error").alias("failure_reason"), F.col("_error_op").alias("operator_id"), place[F.col("_error_op")].alias("_at")) for i in ends]
+    carried = all("_original" in nodes[i].columns for i in ends)
+    payload = [F.to_json("_original").alias("payload")] if carried else []
+    failed = [nodes[i].where("_error is not null").select(*ENVELOPE, *payload, F.col("_error").alias("failure_reason"), F.col("_error_op").alias("operator_id"), place[F.col("_error_op")].alias("_at")) for i in ends]
     bad = reduce(DataFrame.unionByName, failed)
+    several = len(ends) > 1  # with one end an event has one row at most
     once = F.row_number().over(Window.partitionBy(*EVENT_KEY).orderBy("_at"))
-    bad = bad.withColumn("_once", once).where("_once = 1").drop("_once", "_at")
+    bad = (bad.withColumn("_once", once).where("_once = 1").drop("_once") if several or not carried else bad).drop("_at")
     sinks = {}
     for k in p.sinks:
         if k.upstream_id in nodes:
             good = clean(nodes[k.upstream_id], k.upstream_id).where("_error is null")
-            if len(ends) > 1:
+            if several:
                 good = good.join(bad.select(*EVENT_KEY), EVENT_KEY, "left_anti")
             sinks[k.sink_id] = good.select(*ENVELOPE, "payload")
-    original = reduce(DataFrame.unionByName, [nodes[s.source_id].select(*EVENT_KEY, F.to_json("payload").alias("payload")) for s in p.sources])
-    letters = bad.join(original, EVENT_KEY).select("tenant_id", "pipeline_id", "source_id", "partition_id", F.col("offset").alias("event_offset"), "record_key", "failure_reason", F.lit(False).alias("retryable"), "payload", "operator_id")
+    original = None if carried else reduce(DataFrame.unionByName, [nodes[s.source_id].select(*EVENT_KEY, F.to_json("payload").alias("payload")) for s in p.sources])
+    letters = (bad if carried else bad.join(original, EVENT_KEY)).select("tenant_id", "pipeline_id", "source_id", "partition_id", F.col("offset").alias("event_offset"), "record_key", "failure_reason", F.lit(False).alias("retryable"), "payload", "operator_id")
     return Compiled(p, nodes, sinks, letters)
