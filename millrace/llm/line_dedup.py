@@ -6,7 +6,7 @@
    shingle is its own only shingle, so it is similar to equal lines alone: it needs
    the key and no signature.
 2. Bands of the signature are shuffled; a bucket with two or more distinct keys
-   holds candidates. With 12 bands of 4 values a pair at the threshold 0.8 meets
+   holds candidates. Rows of a very common band aren't brought together for that. With 12 bands of 4 values a pair at the threshold 0.8 meets
    with probability 0.998, closer pairs still more surely.
 3. Exact Jaccard of the shingle sets (64-bit hashes of the shingles) confirms pairs:
    first each member of a bucket against its smallest, then, only in buckets of three
@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, fresh_name
@@ -51,6 +51,7 @@ BANDS, ROWS = 12, 4
 BITMAP_BITS = 1 << 24
 BLOCK = 512
 BITS = 2048
+HOT_SHARE, HOT_SAMPLE, HOT_LEAST = 1000, 64, 64
 _SEEN = 250_000
 _BATCH_CHARS = 1 << 19
 _CHUNK_CHARS = 1 << 17  # arrays of this many numbers stay in a core's cache
@@ -367,19 +368,46 @@ def _verified_blocks(members: DataFrame, texts: DataFrame, least: float) -> Data
     return work.mapInArrow(run, "a long, b long").distinct()
 
 
+def _hot_bands(lines: DataFrame) -> list[int]:
+    """Bands that more than one line in `HOT_SHARE` has, judged by one line in `HOT_SAMPLE`; 12 * HOT_SHARE at most.
+
+    What is found here only decides how a band's rows travel, never what comes of them.
+    """
+    some = lines.where(F.col("bands").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0)).select("bands")
+    least = max(HOT_LEAST, some.count() // HOT_SHARE)
+    return [r["band"] for r in some.select(F.explode("bands").alias("band")).groupBy("band").count().where(F.col("count") > least).collect()]
+
+
+def _with_bucket(rows: DataFrame, hot: list[int], *measures: Column, where: str) -> DataFrame:
+    """`rows` with the measures of their `band`, for bands where `where` holds.
+
+    One exchange serves both the aggregate and the join. Rows of hot bands stay where
+    they are: their aggregate combines before the shuffle and is a row for each of them.
+    """
+
+    def joined(part: DataFrame, way: str) -> DataFrame:
+        return part.join(part.groupBy("band").agg(*measures).where(where).hint(way), "band")
+
+    if not hot:
+        return joined(rows.repartition("band"), "shuffle_hash")
+    is_hot = F.col("band").isin(hot)
+    return joined(rows.where(~is_hot).repartition("band"), "shuffle_hash").unionByName(joined(rows.where(is_hot), "broadcast"))
+
+
 def _components(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
     """Rows (node, root) of the keys that are similar to others."""
-    # One exchange serves both the aggregate and the join. Several tasks may have met a line first.
-    every = lines.where("bands is not null").select("key", F.explode("bands").alias("band")).repartition("band")
-    shared = every.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("band", "least")
-    members = scratch.save(every.join(shared.hint("shuffle_hash"), "band").select("band", "key", "least").distinct(), "members")
+    hot = _hot_bands(lines)
+    every = lines.where("bands is not null").select("key", F.explode("bands").alias("band"))
+    met = _with_bucket(every, hot, F.min("key").alias("least"), F.max("key").alias("most"), where="least != most")
+    # Several tasks may have met a line first.
+    members = scratch.save(met.select("band", "key", "least").distinct(), "members")
     texts = scratch.save(_texts(docs, members, min_chars), "texts")
     pairs = members.where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     edges = scratch.save(_verified(pairs, texts, similarity), "edges")
     met_least = edges.select(F.col("a").alias("key"), F.col("b").alias("least"), F.lit(True).alias("joined"))
-    rooted = members.join(met_least, ["key", "least"], "left").select("band", "key", "least", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("root")).repartition("band")
-    split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y and n > 2").select("band", "n")
-    more = scratch.save(_verified_blocks(rooted.join(split.hint("shuffle_hash"), "band"), texts, similarity), "more-edges")
+    rooted = members.join(met_least, ["key", "least"], "left").select("band", "key", "least", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("root"))
+    split = _with_bucket(rooted, hot, F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), where="x != y and n > 2")
+    more = scratch.save(_verified_blocks(split.drop("x", "y"), texts, similarity), "more-edges")
     found = scratch.save(connected_components(edges.union(more), "a", "b", scratch), "components")
     scratch.drop(members, texts, edges, more)
     return found

@@ -2,6 +2,8 @@ import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup as L
 from millrace.llm import line_dedup_query
@@ -80,6 +82,17 @@ def test_large_buckets_in_blocks(spark, docs, monkeypatch):
     assert {r.doc_id: r.text for r in L.deduplicate_lines(docs(rows)).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("sample", [1, 2])
+def test_hot_bands_give_the_same_result(spark, docs, monkeypatch, sample):
+    for name, value in (("HOT_SAMPLE", sample), ("HOT_LEAST", 1), ("HOT_SHARE", 1 << 30), ("BLOCK", 8)):
+        monkeypatch.setattr(L, name, value)
+    base = " ".join(f"word{i}" for i in range(30))
+    rows = [*corpus(11), *((200 + i, base.replace(f"word{i % 30}", f"other{i}")) for i in range(40))]
+    lines = L._lines(docs(rows).select(F.col("doc_id").alias("row_key"), "doc_id", "text"), 1)
+    assert L._hot_bands(lines)
+    assert {r.doc_id: r.text for r in L.deduplicate_lines(docs(rows)).collect()} == brute(rows)
+
+
 def test_recall_of_banding():
     r = random.Random(7)
     met = total = 0
