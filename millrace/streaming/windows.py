@@ -30,7 +30,12 @@ def window_aggregate(df: DataFrame, op: S.Window, keys: dict[str, Column], measu
 
 
 def session_aggregate(df: DataFrame, gap_secs: int, keys: dict[str, Column], measures: dict[str, Column], *, grace_secs: int = 0) -> DataFrame:
-    """Aggregates by key and session: events with less than `gap_secs` between them."""
-    w = F.session_window("_ts", f"{gap_secs} seconds")
+    """Aggregates by key and session: events with less than `gap_secs` between them.
+
+    Spark's own sessions also join events that lie a whole gap apart. Times are whole
+    milliseconds, so a gap of one less is the same without that; ends get it back.
+    """
+    w = F.session_window("_ts", f"{gap_secs * 1000 - 1} milliseconds")
     out = _timed(df, grace_secs).groupBy(w.alias("_w"), *[c.alias(k) for k, c in keys.items()]).agg(*[c.alias(k) for k, c in measures.items()])
-    return out.select(*_bounds(F.col("_w")), *keys, *measures)
+    start, end = _bounds(F.col("_w"))
+    return out.select(start, (end + 1).alias("end_epoch_ms"), *keys, *measures)

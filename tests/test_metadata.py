@@ -8,6 +8,7 @@ from millrace.plans import coordination as C
 from millrace.plans import introspection as I
 from millrace.plans import metadata as M
 from millrace.plans import spec as S
+from millrace.streaming import windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +135,23 @@ def test_queries_equal_their_sql(spark, duck, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert got == sorted(repr(tuple(x[i] for i in at)) for x in r.fetchall())
+
+
+def _compared(spark, tmp_path, name, events):
+    """The rows of a query and of its SQL on a table of events (event_id, ts, user_id, event_type, value)."""
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    con.executemany("insert into events values (?, ?, ?, ?, ?, '{\"k\": 1}')", events)
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    r = con.execute(Q.SQL[name])
+    want = sorted(r.fetchall())
+    return sorted(tuple(x) for x in Q.QUERIES[name](spark, str(tmp_path)).select(*[d[0] for d in r.description]).collect()), want
+
+
+def test_a_session_ends_where_the_gap_is_whole(spark, tmp_path):
+    at = ["2024-01-01 00:00:00", "2024-01-01 02:00:00", "2024-01-01 03:59:59.999", "2024-01-01 05:59:59.999", "2024-01-01 08:00:00"]
+    got, want = _compared(spark, tmp_path, "session_counts", [(i, t, 7, "view", 1.0) for i, t in enumerate(at)])
+    assert got == want and [n for *_, n in got] == [1, 2, 1, 1]
+    df = spark.createDataFrame([(t,) for t in (0, 1999, 2000, 4000)], "event_time_ms long")
+    out = windows.session_aggregate(df, 2, {}, {"n": F.count(F.lit(1))}).collect()
+    assert sorted(tuple(r) for r in out) == [(0, 4000, 3), (4000, 6000, 1)]
