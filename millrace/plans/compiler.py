@@ -11,7 +11,7 @@ sensible one differ:
   in a join before it (default: all);
 * operators run in declared order, and one before its upstream is skipped (default:
   topological order);
-* offset 0 is not processed (default: it is).
+* offset 0 is not processed (default: it is; with `from_start=True` in strict mode too).
 
 In both modes an event that fails in any operator has no emission from any branch,
 and aggregates that it reached before have counted it.
@@ -81,7 +81,7 @@ def lineage_of(p: S.Pipeline, order: list[S.Operator]) -> dict[str, set[str]]:
     return out
 
 
-def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_letters: bool = True, strict: bool = False, exact_sums: bool = False, ordered: bool = False, block: int | None = aggregates.BLOCK_OFFSETS, earlier: dict[str, DataFrame] | None = None, buffered: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> Compiled:
+def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_letters: bool = True, strict: bool = False, exact_sums: bool = False, ordered: bool = False, block: int | None = aggregates.BLOCK_OFFSETS, earlier: dict[str, DataFrame] | None = None, buffered: dict[str, tuple[DataFrame, DataFrame]] | None = None, from_start: bool = False) -> Compiled:
     """`sources` has an event frame for each source id. Without `dead_letters` bad events are dropped and filters stay plain.
 
     `earlier` and `buffered` are the totals of aggregates and the rows of joins, by
@@ -96,7 +96,7 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
     joined = any(o.op.kind == "join" for o in order)
     for s in p.sources:
         df = sources[s.source_id].where(F.col("source_id") == s.source_id)
-        df = df.where("offset > 0") if strict else df
+        df = df.where("offset > 0") if strict and not from_start else df
         nodes[s.source_id] = rows.with_errors(df) if dead_letters else df.where("event_time_ms >= 0")
         if dead_letters and not joined:  # what came in goes along; only dead letters read it
             nodes[s.source_id] = nodes[s.source_id].withColumn("_original", F.col("payload"))
@@ -112,7 +112,7 @@ def compile_pipeline(p: S.Pipeline, sources: dict[str, DataFrame], *, dead_lette
                 empty.add(o.operator_id)
             continue
         if "_match" in first.columns:
-            oldest = F.row_number().over(Window.partitionBy(*EVENT_KEY).orderBy(F.asc_nulls_first("_match")))
+            oldest = F.row_number().over(Window.partitionBy(*EVENT_KEY).orderBy(F.asc_nulls_first("_match"), "payload.join_key"))
             first = first.withColumn("_rank", oldest).where("_rank = 1").drop("_rank", "_match")
         if o.upstream_ids[0] in empty:
             first = rows._mark(first, F.when(F.col("_empty"), F.lit(X.EMPTY_UPSTREAM.format(_LABELS.get(op.kind, op.kind)))), o.operator_id).drop("_empty")

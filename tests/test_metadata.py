@@ -155,3 +155,15 @@ def test_a_session_ends_where_the_gap_is_whole(spark, tmp_path):
     df = spark.createDataFrame([(t,) for t in (0, 1999, 2000, 4000)], "event_time_ms long")
     out = windows.session_aggregate(df, 2, {}, {"n": F.count(F.lit(1))}).collect()
     assert sorted(tuple(r) for r in out) == [(0, 4000, 3), (4000, 6000, 1)]
+
+
+def test_first_matches_begin_at_place_0_and_have_one_row_for_a_number(spark, tmp_path):
+    click, purchase = "click", "purchase"
+    hours = lambda h: f"2024-01-01 {h:02d}:00:00"
+    events = [
+        (0, hours(0), 7, click, 1.0), (1, hours(0), 7, click, 2.0), (2, hours(1), 7, purchase, 3.0),
+        # Other partitions with the same numbers; the oldest match of number 6 is user 6's.
+        (5, hours(10), 5, click, 4.0), (6, hours(10), 5, purchase, 5.0), (4, hours(10), 6, purchase, 6.0), (6, hours(10), 6, click, 7.0),
+    ]
+    got, want = _compared(spark, tmp_path, "join_first_match", events)
+    assert got == want == [(2, 6, 6, 7.0, 6.0), (3, 2, 7, 1.0, 3.0)]
